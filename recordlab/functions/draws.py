@@ -13,8 +13,8 @@ def digest(seed: int, *parts: Column | str) -> Column:
 
 
 def draw(seed: int, *parts: Column | str) -> Column:
-    """Integer in [0, 2**32) from the first eight hex digits of the digest."""
-    return F.conv(F.substring(digest(seed, *parts), 1, 8), 16, 10).cast("bigint")
+    """Integer in [0, 2**60) from the first fifteen hex digits of the digest."""
+    return F.conv(F.substring(digest(seed, *parts), 1, 15), 16, 10).cast("bigint")
 
 
 def digest_bucket(hex_digest: Column, digits: int = 3) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlab.functions.draws import digest_bucket
+from recordlab.session import cut_lineage
 
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 4096
@@ -25,18 +26,15 @@ def cut_points(
 ) -> list[float]:
     """Ascending cut values that split ``value`` into buckets of about equal row count.
 
-    One aggregation with a mergeable quantile sketch; at most ``max_buckets`` numbers reach
-    the driver. The cuts only balance the work: any cut list gives the same results.
+    A mergeable quantile sketch; at most ``max_buckets`` numbers reach the driver, and none when
+    one bucket is enough. The cuts only balance the work: any cut list gives the same results.
     """
-    probs = F.lit([i / max_buckets for i in range(1, max_buckets)])
-    row = df.agg(
-        F.count(value).alias("n"), F.percentile_approx(value, probs, 10 * max_buckets).alias("c")
-    ).first()
-    buckets = min(max_buckets, -(-row["n"] // rows_per_bucket))
+    buckets = min(max_buckets, -(-df.count() // rows_per_bucket))
     if buckets <= 1:
         return []
-    step = max_buckets / buckets
-    return sorted({row["c"][round(i * step) - 1] for i in range(1, buckets)})
+    probs = F.lit([i / buckets for i in range(1, buckets)])
+    found = df.agg(F.percentile_approx(value, probs, 20 * buckets).alias("c")).first()["c"]
+    return sorted(set(found or []))
 
 
 def add_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
@@ -85,17 +83,28 @@ def running_totals(
     )
 
 
-def hash_rank(df: DataFrame, by: Sequence[str], digest: Column, tie: str, out: str) -> DataFrame:
-    """1-based rank inside ``by`` along an md5 order; 4096 uniform buckets per group."""
+def hash_rank(
+    df: DataFrame, by: Sequence[str], digest: Column, tie: str, out: str, size: str | None = None
+) -> DataFrame:
+    """1-based rank inside ``by`` along an md5 order; 4096 uniform buckets per group.
+
+    ``size`` names a column for the row count of the group.
+    """
     marked = df.withColumn("__h", digest).withColumn("__b", digest_bucket(F.col("__h")))
     counted = marked.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy(*by)
+    before = group.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counted.select(
-        *by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o")
+        *by,
+        "__b",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
+        *([F.sum("__n").over(group).alias(size)] if size else []),
     )
     inside = W.partitionBy(*by, "__b").orderBy("__h", tie)
     ranked = marked.join(offsets, [*by, "__b"])
-    return ranked.select(*df.columns, (F.row_number().over(inside) + F.col("__o")).alias(out))
+    return ranked.select(
+        *df.columns, (F.row_number().over(inside) + F.col("__o")).alias(out), *([size] if size else [])
+    )
 
 
 def exact_quantiles(
@@ -108,9 +117,10 @@ def exact_quantiles(
     """Linearly interpolated quantiles per group: ``by…, n, q ARRAY<DOUBLE>``.
 
     Values are counted before they are ordered, so repeated values cost one row, and no group
-    is ever held in one aggregation buffer.
+    is ever held in one aggregation buffer. The counts are read several times and therefore
+    checkpointed.
     """
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
     )
     cuts = cut_points(counts, value, rows_per_bucket)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("curation",)
+MODULES = ("curation", "evaluation")
 
 
 def _modules():
