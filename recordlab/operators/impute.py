@@ -59,7 +59,8 @@ def _split(rows: np.ndarray, leaf: int) -> Iterator[np.ndarray]:
             yield idx
             continue
         part = rows[idx]
-        spread = np.nan_to_num(np.nanmax(part, axis=0) - np.nanmin(part, axis=0), nan=-1.0)
+        gone = np.isnan(part)
+        spread = np.where(gone, -np.inf, part).max(axis=0) - np.where(gone, np.inf, part).min(axis=0)
         order = np.argsort(part[:, int(np.argmax(spread))], kind="stable")
         half = len(idx) // 2
         stack += [idx[order[:half]], idx[order[half:]]]

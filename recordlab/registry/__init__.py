@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("curation", "evaluation")
+MODULES = ("curation", "evaluation", "modelling")
 
 
 def _modules():
