@@ -89,17 +89,18 @@ def signed_scientific(c: Column) -> Column:
     return F.when(value.isNotNull(), _number(value)).otherwise(c)
 
 
-def comparison(c: Column) -> Column:
-    """``>130.0`` → ``>130``: keep sign and number, drop the tail and the idle zeros."""
-    t = strip(c["txt"])
+def _compared(t: Column) -> Column:
     digits = F.regexp_extract(t, COMPARISON, 2)
     short = F.when(
-        F.contains(digits, F.lit(".")),
-        F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.+$", ""),
+        F.contains(digits, F.lit(".")), F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
     ).otherwise(digits)
-    return F.when(
-        t.rlike(COMPARISON), cell(F.lit(None), F.concat(F.regexp_extract(t, COMPARISON, 1), short))
-    ).otherwise(c)
+    return F.concat(F.substring(t, 1, 1), short)
+
+
+def comparison(c: Column) -> Column:
+    """``>130.0`` → ``>130``: keep sign and number, drop the tail and the idle zeros."""
+    t = strip(c["txt"])
+    return F.when(t.rlike(COMPARISON), cell(F.lit(None), _compared(t))).otherwise(c)
 
 
 def blank(c: Column) -> Column:
@@ -107,12 +108,15 @@ def blank(c: Column) -> Column:
     return F.when(strip(c["txt"]) == "", cell(F.lit(None), F.lit(None))).otherwise(c)
 
 
+def _is_mixed(t: Column) -> Column:
+    # plain numbers and comparisons hold no letter, so they need no exception
+    return t.rlike(LETTERS) & t.rlike(r"\d")
+
+
 def mixed(c: Column) -> Column:
     """Letters and digits together, in none of the known forms → null."""
     t = strip(c["txt"])
-    known = t.rlike(r"^[<>]\s*[\d.]+$") | t.rlike(r"^-?[\d.]+$")
-    odd = (t == "") | (~known & t.rlike(LETTERS) & t.rlike(r"\d"))
-    return F.when(odd, cell(F.lit(None), F.lit(None))).otherwise(c)
+    return F.when((t == "") | _is_mixed(t), cell(F.lit(None), F.lit(None))).otherwise(c)
 
 
 def clean_cell(
@@ -122,27 +126,28 @@ def clean_cell(
     skip_mixed: Column | bool = False,
     strict_signs: bool = False,
     marker: float = MISSING_MARKER,
+    trimmed: Column | None = None,
 ) -> Column:
     """All rules in their fixed order, as one flat CASE.
 
     Every rule either decides a text or leaves it (trimmed) to the next one, so the chain needs
     the original text only and each pattern is evaluated once. ``strict_signs`` reads numbers
     before the sign words, so that ``1.30E+3`` and ``-1`` stay numbers; by default any '+' or
-    '-' in a text decides the cell, as in the original rules.
+    '-' in a text decides the cell, as in the original rules. ``trimmed`` is the stripped text
+    when the caller has it as a column.
     """
     is_sex = is_sex if isinstance(is_sex, Column) else F.lit(is_sex)
     skip_mixed = skip_mixed if isinstance(skip_mixed, Column) else F.lit(skip_mixed)
     none = cell(F.lit(None), F.lit(None))
-    raw = cell(F.lit(None), txt)
-    low, t = F.lower(txt), strip(txt)
+    t = strip(txt) if trimmed is None else trimmed
+    low = F.lower(t)
 
     def number(value: Column) -> Column:
         return _number(F.when((value != marker) & ~F.isnan(value), value))
 
-    chain = F.when(num.isNotNull(), number(num)).when(txt.isNull(), none)
-    word = F.lower(t)
-    chain = chain.when(is_sex & word.isin(*MALE_WORDS), _number(1.0))
-    chain = chain.when(is_sex & word.isin(*FEMALE_WORDS), _number(0.0))
+    chain = F.when(num.isNotNull(), number(num)).when(t.isNull() | (t == ""), none)
+    chain = chain.when(is_sex & low.isin(*MALE_WORDS), _number(1.0))
+    chain = chain.when(is_sex & low.isin(*FEMALE_WORDS), _number(0.0))
     if strict_signs:
         plain = F.coalesce(to_number(t), _power_form(t, SIGNED_E))
         chain = chain.when(plain.isNotNull(), number(plain))
@@ -151,7 +156,8 @@ def clean_cell(
     for pattern in (E_FORM, TEN_FORM):
         value = _power_form(t, pattern)
         chain = chain.when(value.isNotNull(), number(value))
-    chain = chain.when(t.rlike(COMPARISON), comparison(raw))
-    chain = chain.when(t == "", none)
-    chain = chain.when(~skip_mixed & mixed(raw)["txt"].isNull(), none)
+    chain = chain.when(t.rlike(COMPARISON), cell(F.lit(None), _compared(t)))
+    chain = chain.when(~skip_mixed & _is_mixed(t), none)
+    if marker < 0:  # the sign rule has already taken every text with a minus
+        return chain.otherwise(cell(F.lit(None), t))
     return chain.when(to_number(t) == marker, none).otherwise(cell(F.lit(None), t))

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 # Whitespace as text tools see it: Unicode blanks plus the ASCII separators.
 BLANK = r"[\s\x1c-\x1f\x85]"
+# The same set as characters, for trimming without a pattern.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def strip(t: Column) -> Column:
     """Trim Unicode whitespace on both sides."""
-    return F.regexp_replace(t, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(t, F.lit(BLANKS))
 
 
 def squeeze(t: Column) -> Column:

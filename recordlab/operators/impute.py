@@ -365,33 +365,26 @@ def knn_impute(
     unit = [s if scale and s > 0 else 1.0 for s in spread]
 
     x = F.array(*[(values[c] + 0.0) / F.lit(u) for c, u in zip(names, unit)])
+    vector_id = F.md5(F.to_json("__x"))
     keyed = df.withColumn("__x", x).withColumn("__miss", F.exists("__x", lambda e: e.isNull()))
-    keyed = keyed.withColumn("__vid", F.md5(F.to_json("__x")))
     gaps = keyed.where("__miss")
 
-    def vectors(frame: DataFrame, donors: bool) -> DataFrame:
-        return frame.groupBy("__vid").agg(
-            F.first("__x").alias("x"), (F.count("*") if donors else F.lit(0)).cast("bigint").alias("w")
-        )
+    def counted(frame: DataFrame, weight) -> DataFrame:
+        return frame.groupBy("__x").agg(weight.cast("bigint").alias("w"))
 
     if fit_on is None:
-        distinct = vectors(keyed, True)
+        distinct = counted(keyed, F.count("*"))
     else:
-        donors = fit_on.select(x.alias("__x")).withColumn("__vid", F.md5(F.to_json("__x")))
-        distinct = (
-            vectors(donors, True)
-            .unionByName(vectors(gaps.select("__x", "__vid"), False))
-            .groupBy("__vid")
-            .agg(F.first("x").alias("x"), F.sum("w").alias("w"))
-        )
+        donors = counted(fit_on.select(x.alias("__x")), F.count("*"))
+        distinct = counted(donors.unionByName(counted(gaps, F.lit(0))), F.sum("w"))
     lead = sorted(range(width), key=lambda j: -(spread[j] / unit[j]))
     distinct = cut_lineage(
         distinct.select(
-            F.col("__vid").alias("vid"),
-            "x",
+            vector_id.alias("vid"),
+            F.col("__x").alias("x"),
             "w",
-            F.array_join(F.transform("x", lambda e: F.when(e.isNull(), "0").otherwise("1")), "").alias("pattern"),
-            F.coalesce(*[F.col("x")[j] for j in lead]).alias("lead"),
+            F.array_join(F.transform("__x", lambda e: F.when(e.isNull(), "0").otherwise("1")), "").alias("pattern"),
+            F.coalesce(*[F.col("__x")[j] for j in lead]).alias("lead"),
         )
     )
     n = distinct.count()
@@ -451,7 +444,7 @@ def knn_impute(
         .agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("__fill"))
     )
     whole = keyed.where(~F.col("__miss")).withColumn("__fill", F.lit(None).cast("map<int,double>"))
-    patched = gaps.join(filled.withColumnRenamed("vid", "__vid"), "__vid", "left")
+    patched = gaps.withColumn("vid", vector_id).join(filled, "vid", "left")
     merged = whole.unionByName(patched.select(*whole.columns))
     out = {
         c: F.coalesce(values[c], F.try_element_at("__fill", F.lit(j)) * F.lit(unit[j]), F.lit(means[j]))

@@ -88,4 +88,4 @@ def long_stats(long: DataFrame, key: str = "rec_id", marker: float = MARKER) ->
 
 def semi_nonempty(records: DataFrame, long: DataFrame, key: str = "rec_id") -> DataFrame:
     """Records that own at least one item row."""
-    return records.join(long.select(key), key, "left_semi")
+    return records.join(long.select(key).distinct(), key, "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,34 @@ def term_list(dictionary: DataFrame, term: str = "term", limit: int = MAX_TERMS)
     return sorted(r[0] for r in found)
 
 
+def _fold(char: str) -> str:
+    """Case folding of single characters as pattern engines do it."""
+    upper = char.upper()
+    lower = (upper if len(upper) == 1 else char).lower()
+    return lower if len(lower) == 1 else char
+
+
+@lru_cache(maxsize=1)
+def _spellings() -> dict[str, str]:
+    """Folded character → all its spellings, for characters that have more than one."""
+    groups: dict[str, list[str]] = {}
+    for code in range(0x10000):
+        if not 0xD800 <= code < 0xE000:
+            groups.setdefault(_fold(chr(code)), []).append(chr(code))
+    return {k: "".join(v) for k, v in groups.items() if len(v) > 1}
+
+
+def _any_case(char: str) -> str:
+    """Pattern for a character in every spelling. A plain set is faster than the case flag."""
+    found = _spellings().get(char)
+    return f"[{re.escape(found)}]" if found else re.escape(char)
+
+
 def _branch(node: dict, guard_end: bool) -> str:
     """Pattern of everything below a prefix; longer continuations are tried first."""
     options = []
     for char, below in sorted((c, b) for c, b in node.items() if c):
-        options.append(re.escape(char) + _branch(below, guard_end))
+        options.append(_any_case(char) + _branch(below, guard_end))
     if "" in node:
         latin_end = guard_end and re.match(_WORD, node[""])
         options.append(f"(?!{_WORD})" if latin_end else "")
@@ -34,13 +58,13 @@ def _branch(node: dict, guard_end: bool) -> str:
 
 
 def term_pattern(terms: Iterable[str], word_boundary: bool = False) -> str:
-    """One case-insensitive pattern that takes the longest term at each place.
+    """One pattern, in any case, that takes the longest term at each place.
 
     Terms share their prefixes, so the work per position depends on the length of the match and
     not on the number of terms. ``word_boundary`` keeps Latin terms from matching inside words.
     """
     tries: dict[bool, dict] = {False: {}, True: {}}
-    for term in {t.lower() for t in terms if t}:
+    for term in {"".join(map(_fold, t)) for t in terms if t}:
         latin_start = word_boundary and re.match(_WORD, term[0]) is not None
         node = tries[latin_start]
         for char in term:
@@ -51,7 +75,7 @@ def term_pattern(terms: Iterable[str], word_boundary: bool = False) -> str:
         parts.append(f"(?<!{_WORD})" + _branch(tries[True], True))
     if tries[False]:
         parts.append(_branch(tries[False], word_boundary))
-    return "(?iu)(?:" + "|".join(parts) + ")" if parts else "(?!)"
+    return "(?:" + "|".join(parts) + ")" if parts else "(?!)"
 
 
 def redact(

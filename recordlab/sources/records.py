@@ -143,7 +143,7 @@ def rejects(documents: DataFrame) -> DataFrame:
 
 def missing_classes(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Classes that were asked for and have no rows."""
-    return wanted.join(found, key, "left_anti")
+    return wanted.join(found.select(key).distinct(), key, "left_anti")
 
 
 def explode_labs(records: DataFrame, *keep: str) -> DataFrame:
