@@ -49,6 +49,16 @@ def add_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> Da
     )
 
 
+def _join_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join that also matches null keys, so that no row is lost."""
+    side = offsets.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        *[c for c in offsets.columns if c not in keys],
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(side, same)
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
@@ -76,7 +86,7 @@ def running_totals(
         *[F.sum(f"__{n}").over(W.partitionBy(*by)).alias(n) for n in whole],
     )
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.join(offsets, keys).select(
+    return _join_offsets(df, offsets, keys).select(
         *df.columns,
         *[(F.sum(c).over(inside) + F.col(f"__{n}")).alias(n) for n, c in sums.items()],
         *whole,
@@ -101,7 +111,7 @@ def hash_rank(
         *([F.sum("__n").over(group).alias(size)] if size else []),
     )
     inside = W.partitionBy(*by, "__b").orderBy("__h", tie)
-    ranked = marked.join(offsets, [*by, "__b"])
+    ranked = _join_offsets(marked, offsets, [*by, "__b"])
     return ranked.select(
         *df.columns, (F.row_number().over(inside) + F.col("__o")).alias(out), *([size] if size else [])
     )
