@@ -38,6 +38,7 @@ PARTITION_ROWS = 200_000
 KERNEL_CELLS = 1_000_000
 PAIRS_PER_TASK = 64
 SALTS = 8
+HOT_COPIES = 1_000_000
 
 BLOCK_SCHEMA = (
     "block STRING, n INT, has_missing BOOLEAN, lo BINARY, hi BINARY, every BINARY, some BINARY, "
@@ -333,6 +334,21 @@ def _make_pairs(spark: SparkSession, mine: DataFrame, boxes, width: int, k: int,
     return mine.mapInPandas(run, PAIR_SCHEMA)
 
 
+def _attach(rows: DataFrame, filled: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Left join of the filled values. Vectors with very many copies go by broadcast.
+
+    A vector is hot with a ten-thousandth of all rows or more, so there are at most 10,000.
+    """
+    total = distinct.agg(F.sum("w")).first()[0] or 0
+    limit = max(HOT_COPIES, -(-total // 10_000))
+    hot = distinct.where(F.col("w") >= limit).select("vid")
+    if not hot.count():
+        return rows.join(filled, "vid", "left")
+    hot_rows = rows.join(F.broadcast(hot.join(filled, "vid", "left")), "vid")
+    cold_rows = rows.join(F.broadcast(hot), "vid", "left_anti").join(filled, "vid", "left")
+    return hot_rows.unionByName(cold_rows)
+
+
 # --- operator -------------------------------------------------------------------------------
 
 
@@ -444,7 +460,7 @@ def knn_impute(
         .agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("__fill"))
     )
     whole = keyed.where(~F.col("__miss")).withColumn("__fill", F.lit(None).cast("map<int,double>"))
-    patched = gaps.withColumn("vid", vector_id).join(filled, "vid", "left")
+    patched = _attach(gaps.withColumn("vid", vector_id), filled, distinct)
     merged = whole.unionByName(patched.select(*whole.columns))
     out = {
         c: F.coalesce(values[c], F.try_element_at("__fill", F.lit(j)) * F.lit(unit[j]), F.lit(means[j]))

@@ -304,9 +304,11 @@ CV_METRICS = ("accuracy", *[f"{r}_{a}" for r in RATES for a in AVERAGES], "auc_w
 
 
 def cv_summary(fold_rows: DataFrame, by: Sequence[str] = ("algorithm",), metrics: Sequence[str] = CV_METRICS) -> DataFrame:
-    """Mean and population standard deviation over folds."""
+    """Mean and population standard deviation over folds, and the mean training time if known."""
+    timed = [F.avg("fit_seconds").alias("fit_seconds_mean")] if "fit_seconds" in fold_rows.columns else []
     return fold_rows.groupBy(*by).agg(
         F.count("*").alias("n_folds"),
+        *timed,
         *[f(m).alias(f"{m}_{name}") for m in metrics for f, name in ((F.avg, "mean"), (F.stddev_pop, "std"))],
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -255,12 +256,18 @@ def fold_predictions(
     keep: Sequence[str] = (),
     parallelism: int = 1,
 ) -> DataFrame:
-    """Fit on each fold's training part and predict its validation part: ``fold, label, pred…``."""
+    """Fit on each fold's training part and predict its validation part.
+
+    Rows carry ``fold`` and ``fit_seconds``, the training time of the fold.
+    """
 
     def one(i: int) -> DataFrame:
         train, val = folds[i]
+        start = time.monotonic()
         model = fit_classifier(algorithm, train, params, classes, features)
-        return predict(model, algorithm, val, classes, keep).withColumn("fold", F.lit(i))
+        seconds = F.lit(time.monotonic() - start)
+        rows = predict(model, algorithm, val, classes, keep)
+        return rows.withColumn("fold", F.lit(i)).withColumn("fit_seconds", seconds)
 
     with ThreadPoolExecutor(max(parallelism, 1)) as pool:
         parts = list(pool.map(one, range(len(folds))))

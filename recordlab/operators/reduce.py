@@ -9,14 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, StandardScaler, StandardScalerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,11 +37,12 @@ class Projection(
     matrix = Param(Params._dummy(), "matrix", "rows = input width", TypeConverters.identity)
     offset = Param(Params._dummy(), "offset", "one number per output", TypeConverters.toListFloat)
     kind = Param(Params._dummy(), "kind", "'linear' or 'cosine'", TypeConverters.toString)
+    ratios = Param(Params._dummy(), "ratios", "explained share per output", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, matrix=None, offset=None, kind="linear"):
+    def __init__(self, *, inputCol=None, outputCol=None, matrix=None, offset=None, kind="linear", ratios=None):
         super().__init__()
-        self._setDefault(kind="linear")
+        self._setDefault(kind="linear", ratios=[])
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -94,8 +95,10 @@ def auto_components(ratios: Sequence[float], variance: float, limit: int) -> int
     return int(min(np.searchsorted(cumulative, variance) + 1, limit, len(ratios)))
 
 
-def _lda_matrix(scaled: DataFrame, features: str, label: str, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Axes and offset of the linear discriminants from class means and one covariance.
+def _lda_matrix(
+    scaled: DataFrame, features: str, label: str, d: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Axes, offset and explained shares of the discriminants from class means and one covariance.
 
     The class table has one row per class; the covariance comes out of a full PCA fit, which
     Spark computes distributed. Only d×d numbers are handled here.
@@ -120,9 +123,10 @@ def _lda_matrix(scaled: DataFrame, features: str, label: str, d: int) -> tuple[n
     values, vectors = np.linalg.eigh(within / np.outer(unit, unit))
     keep = values > 1e-10 * values.max()
     whiten = (vectors[:, keep] / unit[:, None]) / np.sqrt(values[keep])
-    _, _, vt = np.linalg.svd((np.sqrt(counts)[:, None] * spread) @ whiten, full_matrices=False)
-    matrix = whiten @ vt.T[:, : min(k - 1, d)]
-    return matrix, -(centre @ matrix)
+    _, size, vt = np.linalg.svd((np.sqrt(counts)[:, None] * spread) @ whiten, full_matrices=False)
+    axes = min(k - 1, d)
+    matrix = whiten @ vt.T[:, :axes]
+    return matrix, -(centre @ matrix), (size**2 / (size**2).sum())[:axes]
 
 
 def fit_reducer(
@@ -144,8 +148,10 @@ def fit_reducer(
     stages = fit_standardiser(train, features, scaled, with_std=method != "pca")
     ready = PipelineModel(stages).transform(train)
     if method == "lda":
-        matrix, offset = _lda_matrix(ready, scaled, label, d)
-        last = Projection(inputCol=scaled, outputCol=out, matrix=matrix.tolist(), offset=offset.tolist())
+        matrix, offset, ratios = _lda_matrix(ready, scaled, label, d)
+        last = Projection(
+            inputCol=scaled, outputCol=out, matrix=matrix.tolist(), offset=offset.tolist(), ratios=ratios.tolist()
+        )
         return PipelineModel([*stages, last])
     if method == "auto":
         full = PCA(k=min(d, n), inputCol=scaled, outputCol=f"{out}_full").fit(ready)
@@ -161,10 +167,20 @@ def reduce_rows(model: PipelineModel, df: DataFrame, out: str = "reduced") -> Da
     return model.transform(df).select(*df.columns, out)
 
 
+def _components(model: PipelineModel) -> tuple[np.ndarray, list[float]] | None:
+    """Loadings and explained shares of a fitted PCA or discriminant reducer."""
+    for stage in model.stages:
+        if isinstance(stage, PCAModel):
+            return stage.pc.toArray(), stage.explainedVariance.toArray().tolist()
+        if isinstance(stage, Projection):
+            return np.asarray(stage.getOrDefault(stage.matrix)), stage.getOrDefault(stage.ratios)
+    return None
+
+
 def variance_table(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``component, ratio, cumulative`` of the fitted components (one row per component)."""
-    pca = next(s for s in model.stages if isinstance(s, PCAModel))
-    rows = [(i + 1, float(r)) for i, r in enumerate(pca.explainedVariance.toArray())]
+    found = _components(model)
+    rows = [(i + 1, float(r)) for i, r in enumerate(found[1] if found else [])]
     table = df.sparkSession.createDataFrame(rows, "component INT, ratio DOUBLE")
     running = W.orderBy("component").rowsBetween(W.unboundedPreceding, 0)
     return table.withColumn("cumulative", F.sum("ratio").over(running))
@@ -172,12 +188,33 @@ def variance_table(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def component_table(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``component, feature, loading`` (PCA components or discriminant scalings)."""
-    last = next(s for s in reversed(model.stages) if isinstance(s, (PCAModel, Projection)))
-    matrix = last.pc.toArray() if isinstance(last, PCAModel) else np.asarray(last.getOrDefault(last.matrix))
-    rows = [(j + 1, i + 1, float(v)) for (i, j), v in np.ndenumerate(matrix)]
+    found = _components(model)
+    rows = [(j + 1, i + 1, float(v)) for (i, j), v in np.ndenumerate(found[0])] if found else []
     return df.sparkSession.createDataFrame(rows, "component INT, feature INT, loading DOUBLE")
 
 
+def diagnostics(model: PipelineModel, train: DataFrame, val: DataFrame, method: str, key: str = "rec_id") -> dict[str, DataFrame]:
+    """Tables about a reducer: components, variance, mean, reduced rows and a summary."""
+    spark = train.sparkSession
+    mean = next((s.mean.toArray() for s in model.stages if isinstance(s, StandardScalerModel)), [])
+    reduced = [
+        reduce_rows(model, rows).select(key, "label", F.lit(role).alias("role"), vector_to_array("reduced").alias("reduced"))
+        for role, rows in (("train", train), ("val", val))
+    ]
+    both = reduced[0].unionByName(reduced[1])
+    variance = variance_table(model, train)
+    summary = both.groupBy("role").agg(
+        F.lit(method).alias("method"), F.count("*").alias("n_rows"), F.max(F.size("reduced")).alias("width")
+    )
+    return {
+        "components": component_table(model, train),
+        "variance": variance,
+        "mean": spark.createDataFrame([(i + 1, float(m)) for i, m in enumerate(mean)], "feature INT, mean DOUBLE"),
+        "reduced": both,
+        "summary": summary,
+    }
+
+
 def append_features(df: DataFrame, extra: Sequence[str], reduced: str = "reduced", out: str = "features_all") -> DataFrame:
     """Reduced vector followed by further numeric columns, unscaled; a null in them is an error."""
     return VectorAssembler(inputCols=[reduced, *extra], outputCol=out).transform(df)
@@ -185,7 +222,3 @@ def append_features(df: DataFrame, extra: Sequence[str], reduced: str = "reduced
 
 def as_features(df: DataFrame, vector: str = "vector", out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(vector)))
-
-
-def element(v: str, i: int) -> Column:
-    return vector_to_array(v)[i]

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 
 from recordlab.operators import bootstrap, models, reports, splits
 from recordlab.operators import metrics as M
-from recordlab.operators.reduce import N_COMPONENTS, VARIANCE, append_features, fit_reducer, reduce_rows
+from recordlab.operators.reduce import (
+    N_COMPONENTS,
+    VARIANCE,
+    append_features,
+    diagnostics,
+    fit_reducer,
+    reduce_rows,
+    row_count_and_width,
+)
 from recordlab.session import cut_lineage
 from recordlab.sources import tables as io
 
@@ -69,7 +77,8 @@ def run_study(
     """``features`` has ``key, label, features`` and optional numeric ``extra`` columns.
 
     Returns the report tables plus ``predictions``, ``holdout`` (metrics per algorithm and
-    role) and ``intervals``. With ``out`` the tables, the models and the options are saved.
+    role), ``class_report``, ``confusion``, ``roc`` and ``intervals``. With ``out`` the tables,
+    modelling data, reducer diagnostics, models and options are saved.
     """
     spark = features.sparkSession
     algorithms = dict(algorithms or models.algorithms(seed))
@@ -98,7 +107,7 @@ def run_study(
         predicted = models.fold_predictions(algorithm, params, pairs, classes, keep=[key], parallelism=parallelism)
         cv_parts.append(predicted.select(F.lit(name).alias("algorithm"), "*"))
     cv_predictions = cut_lineage(_union(cv_parts))
-    fold_rows = cut_lineage(M.evaluate(cv_predictions, classes, ["algorithm", "fold"]))
+    fold_rows = cut_lineage(M.evaluate(cv_predictions, classes, ["algorithm", "fold", "fit_seconds"]))
 
     full_train, full_test, reducer = reduced_pair(train.drop("fold"), test, method, n_components, variance, extra)
     full_train, full_test = full_train.persist(), full_test.persist()
@@ -115,7 +124,17 @@ def run_study(
             bundle = PipelineModel([*reducer.stages, *_bridge(extra), *model.stages])
             models.save_bundle(spark, f"{out}/models/{name}", bundle, name, chosen[name][0], classes)
     predictions = cut_lineage(_union(final_parts))
-    holdout = cut_lineage(M.evaluate(predictions, classes, ["algorithm", "role"]))
+    by = ["algorithm", "role"]
+    holdout = cut_lineage(M.evaluate(predictions, classes, by))
+    if out:
+        for i, (a, b) in enumerate([*pairs, (full_train, full_test)]):
+            width = row_count_and_width(a, "features")[1]
+            fold = F.lit("all" if i == len(pairs) else str(i)).alias("fold")
+            rows = a.select("features", "label", fold, F.lit("train").alias("role")).unionByName(
+                b.select("features", "label", fold, F.lit("val").alias("role"))
+            )
+            io.write_modeling_data(rows, f"{out}/modeling_data/{'all' if i == len(pairs) else i}", width, ["role"])
+        io.write_tables(diagnostics(reducer, train, test, method, key), f"{out}/reduction")
     for a, b in [*pairs, (full_train, full_test)]:
         a.unpersist()
         b.unpersist()
@@ -124,7 +143,7 @@ def run_study(
     intervals = _union(
         [
             bootstrap.bootstrap_ci(held_out.where(F.col("algorithm") == name), classes, key, n_bootstrap, seed=seed).select(
-                F.lit(name).alias("algorithm"), "*"
+                F.lit(name).alias("algorithm"), "*", bootstrap.interval_text().alias("interval")
             )
             for name in algorithms
         ]
@@ -134,6 +153,9 @@ def run_study(
         "rankings": _union(rankings),
         "predictions": predictions,
         "holdout": holdout,
+        "class_report": M.class_report(predictions, by),
+        "confusion": M.confusion_norm(M.confusion_grid(M.confusion(predictions, by), classes, by), by),
+        "roc": M.roc_points(predictions, classes, by),
         "intervals": intervals,
     }
     if out:

@@ -111,6 +111,14 @@ def test_scaled_distance(spark):
     assert np.allclose(got, brute(x / unit, x / unit, 5) * unit, rtol=1e-9)
 
 
+def test_hot_vectors_go_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(impute, "HOT_COPIES", 20)
+    x, k, leaf = CASES["hot copies"]
+    df, columns = frame(spark, x)
+    got = values(knn_impute(df, columns, k, min_block_rows=leaf), columns)
+    assert np.allclose(got, brute(x, x, k), equal_nan=True, rtol=0, atol=1e-9)
+
+
 def test_result_does_not_depend_on_partitioning(spark):
     x = make(11, 200, 4, 0.4)
     df, columns = frame(spark, x)

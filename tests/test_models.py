@@ -137,6 +137,17 @@ def test_study_saves_usable_bundles(spark, df, tmp_path):
     assert test.join(again, "rec_id").where("pred <> again").count() == 0
     assert spark.read.json(f"{tmp_path}/config").first()["method"] == "scaled_pca"
     assert spark.read.parquet(f"{tmp_path}/tables/comparison").count() == 1
+    assert tables["cv_summary"].first()["fit_seconds_mean"] > 0
+    data = spark.read.csv(f"{tmp_path}/modeling_data/all", header=True)
+    assert data.count() == 240 and "feature_4" in data.columns
+    assert {r["role"]: r["width"] for r in spark.read.parquet(f"{tmp_path}/reduction/summary").collect()} == {"train": 3, "val": 3}
+
+
+def test_lda_shares(df):
+    model = reduce.fit_reducer(df, "lda")
+    tables = reduce.diagnostics(model, df, df.limit(3), "lda")
+    assert tables["variance"].count() == 2 and tables["components"].count() == 12
+    assert tables["variance"].agg(F.max("cumulative")).first()[0] == pytest.approx(1)
 
 
 def test_encoders(spark):

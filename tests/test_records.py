@@ -89,6 +89,15 @@ def test_wide_table(result):
     assert str(rows["p1"]["test_date"]) == "2024-05-01"
 
 
+def test_equal_ids_stay_separate_rows(spark):
+    from recordlab.operators.wide import wide_table
+
+    docs = [({"患者编号": "p", "检验": [item("a", str(i))]},) for i in range(3)]
+    lines = spark.createDataFrame([(json.dumps(d[0]),) for d in docs], "value STRING")
+    got = wide_table(rec.project_records(rec.parse_documents(lines)))
+    assert sorted(r["a"] for r in got.collect()) == ["0", "1", "2"]
+
+
 def test_written_corpus_keeps_line_order(spark, dirs, tmp_path):
     out = curate(spark, dirs, LABELS, out=str(tmp_path))
     text = {r["line_no"]: r["text"] for r in io.read_corpus(spark, f"{tmp_path}/corpus").collect()}
