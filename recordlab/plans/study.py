@@ -121,7 +121,7 @@ def run_study(
                 )
             )
         if out:
-            bundle = PipelineModel([*reducer.stages, *_bridge(extra), *model.stages])
+            bundle = bundle_of(reducer, model, extra)
             models.save_bundle(spark, f"{out}/models/{name}", bundle, name, chosen[name][0], classes)
     predictions = cut_lineage(_union(final_parts))
     by = ["algorithm", "role"]
@@ -182,15 +182,16 @@ def run_study(
     return tables
 
 
-def _bridge(extra: Sequence[str]) -> list:
-    """Stages between the reducer's output and the classifier's input in a saved bundle.
+def bundle_of(reducer: PipelineModel, classifier: PipelineModel, extra: Sequence[str] = ()) -> PipelineModel:
+    """One fitted pipeline from raw rows to predictions.
 
-    The classifier reads ``features``, which holds the raw vector until here.
+    The classifier reads ``features``, which holds the raw vector until the reducer is done.
     """
-    return [
+    bridge = [
         SQLTransformer(statement="SELECT * EXCEPT (features) FROM __THIS__"),
         VectorAssembler(inputCols=["reduced", *extra], outputCol="features"),
     ]
+    return PipelineModel([*reducer.stages, *bridge, *classifier.stages])
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:

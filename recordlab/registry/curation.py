@@ -92,36 +92,34 @@ def rec_ratio_age_filter(spark, sf):
     "age_sex_first_item",
     duck(
         """
-SELECT rec_id,
-  COALESCE(ARG_MIN(age, pos) FILTER (WHERE age IS NOT NULL), NULL) AS age,
+SELECT rec_id, ARG_MIN(age, pos) FILTER (WHERE age IS NOT NULL) AS age,
   COALESCE(ARG_MIN(sex, pos) FILTER (WHERE age IS NOT NULL), ARG_MAX(sex, pos)) AS sex
-FROM (SELECT rec_id, pos, CASE WHEN (rec_id + pos) % 3 > 0 THEN age END AS age,
-        CONCAT(sex, CAST(item AS STRING)) AS sex FROM lab_long) t
+FROM (SELECT rec_id, pos, CASE WHEN item NOT IN ('item_1', 'item_2', 'item_5') THEN age END AS age,
+        CONCAT(sex, item) AS sex FROM lab_long) t
 GROUP BY rec_id""",
         "lab_long",
     ),
 )
 def age_sex_first_item(spark, sf):
-    # the age is missing on every third item, and each item has its own sex text
-    records = as_records(spark, sf, numbered=True).select(
-        "rec_id",
-        F.transform(
-            "items",
-            lambda x, i: F.struct(
-                F.when((F.col("rec_id") + i + 1) % 3 > 0, x["age"]).alias("age"),
-                F.concat(x["sex"], x["item"]).alias("sex"),
-            ),
-        ).alias("labs"),
+    # some items lack the age, and each item has its own sex text
+    long = fx.lab_long(spark, sf).withColumns(
+        {
+            "age": F.when(~F.col("item").isin("item_1", "item_2", "item_5"), F.col("age")),
+            "sex": F.concat("sex", "item"),
+        }
     )
-    person = quality.age_sex(F.col("labs"))
-    return records.select("rec_id", person["age"].alias("age"), person["sex"].alias("sex"))
+    return quality.long_stats(long).select("rec_id", "age", "sex")
 
 
 # --- JSON records ---------------------------------------------------------------------------
 
 
-def as_records(spark, sf, numbered=False) -> DataFrame:
-    """Orders as records with their items in order (a record is one document by nature)."""
+def as_records(spark, sf) -> DataFrame:
+    """Orders as nested records with their items in order.
+
+    Only to make JSON input: a record is one document, so its items fit one row by definition.
+    The operators on the long table never collect a record.
+    """
     long = fx.lab_long(spark, sf)
     return long.groupBy("rec_id").agg(
         F.sort_array(

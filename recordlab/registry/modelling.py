@@ -12,7 +12,7 @@ from recordlab.operators import metrics as M
 from recordlab.operators.impute import knn_impute
 from recordlab.operators.reports import compare_parts, run_report
 from recordlab.plans.clean import clean_table as clean_wide
-from recordlab.plans.study import fold_pairs, reduced_pair, run_study
+from recordlab.plans.study import bundle_of, fold_pairs, reduced_pair, run_study
 from recordlab.registry import fixtures as fx
 from recordlab.registry.curation import as_json
 from recordlab.registry.fixtures import duck, table
@@ -289,12 +289,15 @@ def refit_holdout(spark, sf):
 
 @register("bundle_apply")
 def bundle_apply(spark, sf):
-    train, test, _ = _holdout(spark, sf)
-    algorithm = models.algorithms(grid=False)["SVM"]
+    # reducer, bridge and classifier in one saved pipeline, applied to raw rows
+    train, _, reducer = _holdout(spark, sf)
+    algorithm = models.algorithms(grid=False)["LR"]
     path = scratch_path(spark, "bundle")
-    models.save_bundle(spark, path, models.fit_classifier(algorithm, train, SMALL["SVM"], CLASSES), "SVM", SMALL["SVM"], CLASSES)
+    fitted = models.fit_classifier(algorithm, train, SMALL["LR"], CLASSES)
+    bundle = bundle_of(reducer, fitted)
+    models.save_bundle(spark, path, bundle, "LR", SMALL["LR"], CLASSES)
     model, loaded, classes, _ = models.load_bundle(spark, path)
-    return models.predict(model, loaded, test, classes, ["rec_id"])
+    return models.predict(model, loaded, labelled(spark, sf), classes, ["rec_id"])
 
 
 def _parts(spark, sf):
@@ -310,8 +313,8 @@ def compare_train_cv_holdout(spark, sf):
 
 @register("run_report")
 def report(spark, sf):
-    folds = M.evaluate(fx.algorithms(spark, sf), CLASSES, ["algorithm", "fold"])
-    tables = run_report(spark, folds, {n: ({}, None) for n in "ABC"}, _parts(spark, sf))
+    folds = cut_lineage(M.evaluate(fx.algorithms(spark, sf), CLASSES, ["algorithm", "fold"]))
+    tables = run_report(spark, folds, {n: ({}, None) for n in "ABC"}, cut_lineage(_parts(spark, sf)))
     path = scratch_path(spark, "report")
     io.write_tables(tables, path)
     return spark.read.parquet(f"{path}/comparison").join(spark.read.parquet(f"{path}/chosen"), "algorithm")
