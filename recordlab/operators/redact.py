@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recordlab.functions.text import strip
 
 MAX_TERMS = 20_000
+MAX_ALTERNATIVES = 4
 _WORD = "[A-Za-z0-9_]"
 
 
@@ -40,21 +41,40 @@ def _spellings() -> dict[str, str]:
     return {k: "".join(v) for k, v in groups.items() if len(v) > 1}
 
 
-def _any_case(char: str) -> str:
+def _case_set(char: str) -> str:
+    return _spellings().get(char, char)
+
+
+def _one_of(chars: str) -> str:
     """Pattern for a character in every spelling. A plain set is faster than the case flag."""
-    found = _spellings().get(char)
-    return f"[{re.escape(found)}]" if found else re.escape(char)
+    return re.escape(chars) if len(chars) == 1 else f"[{re.escape(chars)}]"
+
+
+def _choice(options: list[tuple[str, str]]) -> str:
+    """Alternatives that start with different characters, as a search tree of range checks.
+
+    An engine tries alternatives one by one; with many of them each half first checks whether
+    the next character is in its range at all.
+    """
+    if len(options) <= MAX_ALTERNATIVES:
+        return "|".join(_one_of(chars) + below for chars, below in options)
+    half = len(options) // 2
+    sides = []
+    for part in (options[:half], options[half:]):
+        every = "".join(chars for chars, _ in part)
+        sides.append(f"(?=[{re.escape(min(every))}-{re.escape(max(every))}])(?:{_choice(part)})")
+    return "|".join(sides)
 
 
 def _branch(node: dict, guard_end: bool) -> str:
     """Pattern of everything below a prefix; longer continuations are tried first."""
-    options = []
-    for char, below in sorted((c, b) for c, b in node.items() if c):
-        options.append(_any_case(char) + _branch(below, guard_end))
+    options = sorted(((_case_set(c), _branch(b, guard_end)) for c, b in node.items() if c), key=lambda o: max(o[0]))
+    parts = [_choice(options)] if options else []
     if "" in node:
         latin_end = guard_end and re.match(_WORD, node[""])
-        options.append(f"(?!{_WORD})" if latin_end else "")
-    return options[0] if len(options) == 1 else "(?:" + "|".join(options) + ")"
+        parts.append(f"(?!{_WORD})" if latin_end else "")
+    single = len(parts) == 1 and len(options) <= 1
+    return parts[0] if single else "(?:" + "|".join(parts) + ")"
 
 
 def term_pattern(terms: Iterable[str], word_boundary: bool = False) -> str:
