@@ -187,6 +187,11 @@ def score_groups(
     )
 
 
+def score_cuts(pred: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
+    """Cut values of all scores; one list serves every grouping and every resample."""
+    return cut_points(pred.select(F.explode("scores").alias("score")), "score", rows_per_bucket)
+
+
 def _ranked(
     pred: DataFrame,
     classes: Sequence[int],
@@ -198,9 +203,7 @@ def _ranked(
 ) -> tuple[DataFrame, list[str]]:
     groups = score_groups(pred, classes, by, weight, micro)
     if cuts is None:
-        # scores as they are, before any resampling or grouping
-        flat = pred.select(F.explode("scores").alias("score"))
-        cuts = cut_points(flat, "score", rows_per_bucket)
+        cuts = score_cuts(pred, rows_per_bucket)
     keys = [*by] if micro else [*by, "cls"]
     ranked = running_totals(
         add_bucket(groups, "score", cuts, "__b"),
@@ -258,9 +261,15 @@ def auc_per_class(
     )
 
 
-def auc_micro(pred: DataFrame, classes: Sequence[int], by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def auc_micro(
+    pred: DataFrame,
+    classes: Sequence[int],
+    by: Sequence[str] = (),
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    cuts: Sequence[float] | None = None,
+) -> DataFrame:
     """Area over all (row, class) cells together."""
-    return auc_per_class(pred, classes, by, None, True, rows_per_bucket).select(
+    return auc_per_class(pred, classes, by, None, True, rows_per_bucket, cuts).select(
         *by, F.col("auc").alias("auc_micro")
     )
 
@@ -283,8 +292,9 @@ def auc_summary(
 
 def evaluate(pred: DataFrame, classes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
     """All metrics of all groups, one row per group."""
-    rates, areas = summary(pred, by), auc_summary(pred, classes, by)
-    micro = auc_micro(pred, classes, by)
+    cuts = score_cuts(pred)
+    rates, areas = summary(pred, by), auc_summary(pred, classes, by, cuts=cuts)
+    micro = auc_micro(pred, classes, by, cuts=cuts)
     if by:
         keys = list(by)
         joined = rates.join(areas, keys, "left").join(micro, keys, "left")

@@ -15,6 +15,7 @@ from recordlab.plans.clean import clean_table as clean_wide
 from recordlab.plans.study import bundle_of, fold_pairs, reduced_pair, run_study
 from recordlab.registry import fixtures as fx
 from recordlab.registry.curation import as_json
+from recordlab.registry.evaluation import rates_sql, roc_sql
 from recordlab.registry.fixtures import duck, table
 from recordlab.session import cut_lineage, scratch_path
 from recordlab.sources import tables as io
@@ -305,10 +306,36 @@ def _parts(spark, sf):
     return M.evaluate(rows, CLASSES, ["algorithm", "role"])
 
 
-@register("compare_train_cv_holdout")
+def _evaluated_sql(by, role=""):
+    """All metrics per group as a subquery; ``role`` splits the rows into parts."""
+    source = f"(SELECT *{role} FROM algos)"
+    names = by.split()
+    on = " AND ".join(f"s.{c} = a.{c}" for c in names)
+    inner = {**rates_sql(by, source + " r"), **roc_sql(by, source + " r")}
+    ctes = ", ".join(f"{k} AS ({v})" for k, v in inner.items())
+    return f"(WITH {ctes} SELECT s.*, a.auc_weighted, a.auc_macro FROM summary s JOIN area_summary a ON {on})"
+
+
+_PARTS_SQL = _evaluated_sql("algorithm role", ", CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS role")
+_COMPARE_SQL = duck(
+    "SELECT c.algorithm, "
+    + ", ".join(
+        f"ROUND(c.{m}, 6) AS {m}_cv, ROUND(x.{m}, 6) AS {m}_train, ROUND(y.{m}, 6) AS {m}_test" for m in M.CV_METRICS
+    )
+    + " FROM means c JOIN parts x ON c.algorithm = x.algorithm AND x.role = 'train' "
+    "JOIN parts y ON c.algorithm = y.algorithm AND y.role = 'test'",
+    "pred",
+    "algos",
+    means="SELECT algorithm, " + ", ".join(f"AVG({m}) AS {m}" for m in M.CV_METRICS) + f" FROM {_evaluated_sql('algorithm fold')} d GROUP BY algorithm",
+    parts=f"SELECT * FROM {_PARTS_SQL} d",
+)
+
+
+@register("compare_train_cv_holdout", _COMPARE_SQL)
 def compare_train_cv_holdout(spark, sf):
     folds = M.evaluate(fx.algorithms(spark, sf), CLASSES, ["algorithm", "fold"])
-    return compare_parts(M.cv_summary(folds), _parts(spark, sf))
+    found = compare_parts(M.cv_summary(folds), _parts(spark, sf))
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c != "algorithm"})
 
 
 @register("run_report")

@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         known = tempfile.mkdtemp(prefix="recordlab-")
         spark.conf.set("spark.checkpoint.dir", known)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)
     return known
 
