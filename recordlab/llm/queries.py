@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from recordlab.llm.bpe import decode, encode
 from recordlab.llm.common import load
+from recordlab.llm.decontaminate import contaminated
 from recordlab.llm.exact_dedup import exact_dedup
+from recordlab.llm.language import held_out, predict, train
 from recordlab.llm.length_histogram import length_counts, suffix_sums
+from recordlab.llm.quality import quality_scores
+from recordlab.llm.sentence_spans import remove_repeated_spans
 from recordlab.llm.simhash import simhash_groups
+from recordlab.llm.urls import url_verdicts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -27,16 +32,89 @@ def op1_byte_bpe(spark, sf):
     )
 
 
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_url_rules(spark, sf):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    judged = url_verdicts(load(spark, sf, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = """
+WITH urls AS (SELECT page_id, COALESCE(url, '') AS url FROM pages),
+parts AS (SELECT page_id,
+    translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM urls),
+rules(rh, rp, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+    ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+hits AS (SELECT page_id, host, path, MAX(length(rh || rp)) AS size FROM parts JOIN rules
+    ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, host, path)
+SELECT p.page_id, p.host, p.path, rh || rp AS rule, COALESCE(action, 'allow') AS verdict
+FROM parts p LEFT JOIN hits h ON p.page_id IS NOT DISTINCT FROM h.page_id AND p.host = h.host AND p.path = h.path
+LEFT JOIN rules ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) AND length(rh || rp) = h.size"""
+
+
+def op3_sentence_spans(spark, sf):
+    cut = remove_repeated_spans(load(spark, sf, "documents"))
+    return cut.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+') AS s FROM documents),
+one AS (SELECT doc_id, UNNEST(s) AS sentence, UNNEST(range(len(s))) AS pos FROM cut),
+bare AS (SELECT doc_id, pos, sentence, trim(regexp_replace(sentence, '[ \t\r\n]+', ' ', 'g'), ' ') AS b FROM one),
+pair AS (SELECT doc_id, pos, b || chr(10) || LEAD(b) OVER w AS two,
+    length(b) - length(replace(b, ' ', '')) + 1 + LEAD(length(b) - length(replace(b, ' ', '')) + 1) OVER w AS words
+    FROM bare WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ranked AS (SELECT doc_id, pos, ROW_NUMBER() OVER (PARTITION BY md5(two) ORDER BY doc_id, pos) AS r FROM pair WHERE words >= 12),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, (VALUES (0), (1)) t(k) WHERE r > 1),
+kept AS (SELECT b.doc_id, COUNT(*) AS n_sentences, COUNT(g.pos) AS n_removed,
+    COALESCE(string_agg(sentence, '' ORDER BY b.pos) FILTER (WHERE g.pos IS NULL), '') AS t
+    FROM bare b LEFT JOIN gone g ON b.doc_id = g.doc_id AND b.pos = g.pos GROUP BY b.doc_id)
+SELECT d.doc_id, CAST(COALESCE(n_sentences, 0) AS INT) AS n_sentences, CAST(COALESCE(n_removed, 0) AS INT) AS n_removed,
+  sha256(COALESCE(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)"""
+
+
+def op4_language(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = train(docs, where=~held_out())
+    found = predict(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.rejected").alias("rejected"),
+    )
+
+
 def op5_simhash_vptree(spark, sf):
     groups = simhash_groups(load(spark, sf, "documents"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return groups.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op6_weak_quality(spark, sf):
+    return quality_scores(load(spark, sf, "documents"))
+
+
 def op7_length_histogram(spark, sf):
     return suffix_sums(length_counts(load(spark, sf, "documents"), RANKS, PATTERN))
 
 
+def op9_spaced_seeds(spark, sf):
+    found = contaminated(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "width")
+
+
 def op10_exact_dedup(spark, sf):
     return exact_dedup(load(spark, sf, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -50,8 +128,13 @@ WINDOW g AS (PARTITION BY norm)"""
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_url_rules": op2_url_rules,
+    "op3_sentence_spans": op3_sentence_spans,
+    "op4_language": op4_language,
     "op5_simhash_vptree": op5_simhash_vptree,
+    "op6_weak_quality": op6_weak_quality,
     "op7_length_histogram": op7_length_histogram,
+    "op9_spaced_seeds": op9_spaced_seeds,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE = {"op10_exact_dedup": OP10_SQL}
+ORACLE = {"op2_url_rules": OP2_SQL, "op3_sentence_spans": OP3_SQL, "op10_exact_dedup": OP10_SQL}
