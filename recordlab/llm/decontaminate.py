@@ -74,6 +74,31 @@ def _agreement(window: int, share: float) -> dict[str, Column]:
     return {"same": same, "width": width, "best": F.array_max(sums)}
 
 
+def _key(id: str, text: str) -> Column:
+    return F.xxhash64(F.col(id), F.col(text).cast("string"))
+
+
+def _overlaps(docs, items, id, text, item, item_text, masks, window, share) -> DataFrame:
+    """``key, id, item, width, matched`` of verified overlaps; key hashes id and text."""
+    own = docs.select(_key(id, text).alias("key"), F.col(id).alias("id"), F.col(text).cast("string").alias("body"))
+    own = own.withColumn("words", tokens(F.col("body")))
+    bench = items.select(F.col(item).alias("item"), tokens(F.col(item_text).cast("string")).alias("item_words")).distinct()
+    hits = stored(seed_hits(own.select("key", "words"), bench, masks), "seed-hits")
+    # few documents have hits; their texts are read again, and only theirs go on
+    keys = hits.select(F.col("key").alias("hit_key")).distinct()
+    few = keys.count() <= BROADCAST_SEEDS
+    raw = own.drop("words")
+    texts = raw.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("hit_key"), "left_semi")
+    texts = texts.dropDuplicates(["key"]).withColumn("words", tokens(F.col("body"))).select(F.col("key").alias("k"), "id", "words")
+    pairs = hits.join(texts, F.col("key") == F.col("k")).drop("k")
+    pairs = pairs.join(bench.withColumnRenamed("item", "i"), F.col("item").eqNullSafe(F.col("i"))).drop("i")
+    columns = _agreement(window, share)
+    for name, column in columns.items():
+        pairs = pairs.withColumn(name, column)
+    good = pairs.where(F.col("best") >= F.ceil(F.col("width") * F.lit(share)))
+    return good.groupBy("key", "id", "item", "width").agg(F.max("best").alias("matched"))
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -92,28 +117,24 @@ def contaminated(
     result. Equal rows give one result; a null id is a document of its own text. Other columns
     aren't read. An empty table on either side gives no rows.
     """
-    own = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("body"))
-    own = own.withColumn("key", F.xxhash64("id", "body")).withColumn("words", tokens(F.col("body")))
-    bench = items.select(F.col(item).alias("item"), tokens(F.col(item_text).cast("string")).alias("item_words")).distinct()
-    hits = stored(seed_hits(own.select("key", "words"), bench, masks), "seed-hits")
-    # few documents have hits; their texts are read again, and only theirs go on
-    keys = hits.select(F.col("key").alias("hit_key")).distinct()
-    few = keys.count() <= BROADCAST_SEEDS
-    raw = own.drop("words")
-    texts = raw.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("hit_key"), "left_semi")
-    texts = texts.dropDuplicates(["key"]).withColumn("words", tokens(F.col("body"))).select(F.col("key").alias("k"), "id", "words")
-    pairs = hits.join(texts, F.col("key") == F.col("k")).drop("k")
-    pairs = pairs.join(bench.withColumnRenamed("item", "i"), F.col("item").eqNullSafe(F.col("i"))).drop("i")
-    columns = _agreement(window, share)
-    for name, column in columns.items():
-        pairs = pairs.withColumn(name, column)
-    good = pairs.where(F.col("best") >= F.ceil(F.col("width") * F.lit(share)))
-    return good.groupBy("id", "item", "width").agg(F.max("best").alias("matched")).select(
-        F.col("id").alias(id), F.col("item").alias(item), "matched", "width"
-    )
+    found = _overlaps(docs, items, id, text, item, item_text, masks, window, share)
+    found = found.groupBy("id", "item", "width").agg(F.max("matched").alias("matched"))
+    return found.select(F.col("id").alias(id), F.col("item").alias(item), "matched", "width")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", **how) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    masks: Sequence[str] = MASKS,
+    window: int = WINDOW,
+    share: float = SHARE,
+) -> DataFrame:
     """``docs`` without the documents that overlap any benchmark item, all columns unchanged."""
-    bad = contaminated(docs, items, id=id, **how).select(F.col(id).alias("__id")).distinct()
-    return docs.join(bad, F.col(id).eqNullSafe(F.col("__id")), "left_anti")
+    bad = _overlaps(docs, items, id, text, item, item_text, masks, window, share)
+    bad = bad.select(F.col("key").alias("__key"), F.col("id").alias("__id")).distinct()
+    same = (_key(id, text) == F.col("__key")) & F.col(id).eqNullSafe(F.col("__id"))
+    return docs.join(bad, same, "left_anti")

@@ -30,11 +30,11 @@ FEW_WORDS = 12
 LEAST = (0.1, 0.95)
 
 _UPPER = bytes(range(65, 91))
-_LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
+_LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256)) + b"0123456789"
 _SPACES = b" \t\r\n\v\f"
 _ODD = b"#$%&*+/<=>@[\\]^_`{|}~"
 
-LABELLERS = ["letters", "odd marks", "capitals", "exclamations", "echoes", "pairs", "lines", "length"]
+LABELLERS = ["letters and digits", "odd marks", "capitals", "exclamations", "echoes", "pairs", "lines", "length"]
 
 
 def _band(value: float, good_to: float, bad_from: float) -> int:

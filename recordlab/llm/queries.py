@@ -14,6 +14,7 @@ from recordlab.llm.length_histogram import length_counts, suffix_sums
 from recordlab.llm.quality import quality_scores
 from recordlab.llm.sentence_spans import remove_repeated_spans
 from recordlab.llm.simhash import simhash_groups
+from recordlab.llm.suffix_dedup import remove_repeats
 from recordlab.llm.urls import url_verdicts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -110,6 +111,11 @@ def op7_length_histogram(spark, sf):
     return suffix_sums(length_counts(load(spark, sf, "documents"), RANKS, PATTERN))
 
 
+def op8_suffix_array(spark, sf):
+    cut = remove_repeats(load(spark, sf, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_spaced_seeds(spark, sf):
     found = contaminated(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "width")
@@ -134,6 +140,7 @@ QUERIES = {
     "op5_simhash_vptree": op5_simhash_vptree,
     "op6_weak_quality": op6_weak_quality,
     "op7_length_histogram": op7_length_histogram,
+    "op8_suffix_array": op8_suffix_array,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_exact_dedup": op10_exact_dedup,
 }

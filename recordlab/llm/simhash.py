@@ -235,3 +235,13 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", radi
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     answer = named.join(lowest, "root").select("fp", "component_id")
     return rows.join(answer, "fp").select(F.col("id").alias(id), "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest id; columns unchanged.
+
+    Rows that share an id stay or go together. Null ids stay where a group has no other.
+    """
+    groups = simhash_groups(docs, id, text, radius).where(F.col(id).eqNullSafe(F.col("component_id")))
+    first = groups.select(F.col(id).alias("__id")).distinct()
+    return docs.join(first, F.col(id).eqNullSafe(F.col("__id")), "left_semi")
