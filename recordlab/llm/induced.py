@@ -159,14 +159,21 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndar
     before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
     length = np.zeros(n, dtype=np.int32)
-    padded = np.concatenate([t.astype(np.int16), np.full(most + 8, -1, dtype=np.int16)])
+    if t.max(initial=0) > 255:
+        raise ValueError("symbols must fit into a byte")
+    # eight symbols in one word; two suffixes differ at the latest where one meets the end mark
+    words = np.concatenate([t, np.zeros(most + 16, dtype=t.dtype)]).astype(np.uint64)
+    for step in (1, 2, 4):
+        words = words[:-step] | (words[step:] << np.uint64(8 * step))
     alive = np.flatnonzero(before >= 0)
     other = before[alive]
-    for offset in range(most):
-        # a position stays while it agrees; the end pad never meets itself, since starts differ
-        equal = padded[alive + offset] == padded[other + offset]
+    for offset in range(0, most, 8):
+        apart = words[alive + offset] ^ words[other + offset]
+        equal = apart == 0
+        low = apart[~equal]
+        length[alive[~equal]] = offset + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8
         alive, other = alive[equal], other[equal]
         if not len(alive):
             break
-        length[alive] = offset + 1
-    return before, length
+    length[alive] = most
+    return before, np.minimum(length, most)
