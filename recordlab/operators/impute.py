@@ -204,7 +204,7 @@ def _reachable(r: np.ndarray, limit: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _first_k(row, donor, d, v, k: int) -> tuple[np.ndarray, ...]:
-    """The k smallest by (distance, value) of each row. A donor counts at least once, so k do."""
+    """The k smallest by (distance, value) of each row. A donor counts at least once, so k entries are enough."""
     order = np.lexsort((v, d, row))
     row = row[order]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < k
@@ -213,7 +213,14 @@ def _first_k(row, donor, d, v, k: int) -> tuple[np.ndarray, ...]:
 
 
 def _pair_candidates(r, limit, x, weights, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per missing column: row index, column, distance, donor value, donor count."""
+    """Per missing column: row index, column, distance, donor value, donor count.
+
+    Rows of weight 0 only want values; they are never donors.
+    """
+    gives = weights > 0
+    if not gives.any():
+        return
+    x, weights = x[gives], weights[gives]
     rows, has_x = _reachable(r, limit, x), ~np.isnan(x)
     step = max(1, KERNEL_CELLS // max(len(x), 1))
     for start in range(0, len(rows), step):

@@ -196,36 +196,47 @@ def feature_join(spark, sf):
 
 # four columns keep the all-pairs SQL at some seconds; every row takes part
 _KNN_COLUMNS = ["c1", "c2", "c3", "c8"]
-_GAP = " + ".join(f"COALESCE((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in _KNN_COLUMNS)
-_SHARED = " + ".join(f"(CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 0 ELSE 1 END)" for c in _KNN_COLUMNS)
-_KNN_CTES = {
-    f"near_{c}": (
-        f"SELECT rec_id, LIST_AVG(LIST_TRANSFORM(MIN(ROW(d, v), 5), lambda x: x[2])) AS v FROM ("
-        f"SELECT a.rec_id, ({_GAP}) * {len(_KNN_COLUMNS)} / NULLIF({_SHARED}, 0) AS d, b.{c} AS v "
-        f"FROM lab_wide a, lab_wide b WHERE a.{c} IS NULL AND b.{c} IS NOT NULL) t WHERE d IS NOT NULL GROUP BY rec_id"
-    )
-    for c in _KNN_COLUMNS
-}
-
-
-@register(
-    "knn_impute",
-    duck(
+_ALL_COLUMNS = [f"c{i}" for i in range(1, 9)]
+
+
+def _knn_sql(columns, donors="TRUE"):
+    """Mean of the five nearest donors per missing cell, else the donors' mean; all rows."""
+    gap = " + ".join(f"COALESCE((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in columns)
+    shared = " + ".join(f"(CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 0 ELSE 1 END)" for c in columns)
+    near = {
+        f"near_{c}": (
+            f"SELECT rec_id, LIST_AVG(LIST_TRANSFORM(MIN(ROW(d, v), 5), lambda x: x[2])) AS v FROM ("
+            f"SELECT a.rec_id, ({gap}) * {len(columns)} / NULLIF({shared}, 0) AS d, b.{c} AS v "
+            f"FROM lab_wide a, lab_wide b WHERE a.{c} IS NULL AND b.{c} IS NOT NULL AND b.{donors}) t "
+            f"WHERE d IS NOT NULL GROUP BY rec_id"
+        ).replace("b.TRUE", "TRUE")
+        for c in columns
+    }
+    return duck(
         "SELECT w.rec_id, "
-        + ", ".join(f"ROUND(COALESCE(w.{c}, near_{c}.v, m.{c}), 6) AS {c}" for c in _KNN_COLUMNS)
+        + ", ".join(f"ROUND(COALESCE(w.{c}, near_{c}.v, m.{c}), 6) AS {c}" for c in columns)
         + " FROM lab_wide w CROSS JOIN (SELECT "
-        + ", ".join(f"AVG({c}) AS {c}" for c in _KNN_COLUMNS)
-        + " FROM lab_wide) m"
-        + "".join(f" LEFT JOIN near_{c} ON w.rec_id = near_{c}.rec_id" for c in _KNN_COLUMNS),
+        + ", ".join(f"AVG({c}) AS {c}" for c in columns)
+        + f" FROM lab_wide WHERE {donors}) m"
+        + "".join(f" LEFT JOIN near_{c} ON w.rec_id = near_{c}.rec_id" for c in columns),
         "lab_wide",
-        **_KNN_CTES,
-    ),
-)
+        **near,
+    )
+
+
+@register("knn_impute", _knn_sql(_KNN_COLUMNS))
 def knn(spark, sf):
     filled = knn_impute(fx.lab_wide(spark, sf).select("rec_id", *_KNN_COLUMNS), _KNN_COLUMNS)
     return filled.withColumns({c: F.round(c, 6) for c in _KNN_COLUMNS})
 
 
+@register("knn_impute_train_donors", _knn_sql(_ALL_COLUMNS, "rec_id % 5 > 0"))
+def knn_train_donors(spark, sf):
+    wide = fx.lab_wide(spark, sf).select("rec_id", *_ALL_COLUMNS)
+    filled = knn_impute(wide, _ALL_COLUMNS, fit_on=wide.where("rec_id % 5 > 0"))
+    return filled.withColumns({c: F.round(c, 6) for c in _ALL_COLUMNS})
+
+
 @register("clean_table")
 def clean_table(spark, sf):
     df = fx.lab_wide(spark, sf).withColumn("性别", F.when(F.col("rec_id") % 2 == 0, "男").otherwise("女"))

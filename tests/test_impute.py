@@ -95,11 +95,15 @@ def test_empty_column_stays_null_and_untouched_rows_stay(spark):
     assert np.allclose(got[:, [0, 2]], brute(x[:, [0, 2]], x[:, [0, 2]], 5), equal_nan=True)
 
 
-def test_donors_from_training_rows(spark):
-    x = make(9, 120, 4, 0.3)
+@pytest.mark.parametrize("leaf", [8, 64, 512])
+def test_donors_from_training_rows(spark, leaf):
+    x = make(9, 300, 4, 0.25)
     df, columns = frame(spark, x)
-    got = values(knn_impute(df, columns, 5, fit_on=df.where("rec_id < 60"), min_block_rows=8), columns)
-    assert np.allclose(got, brute(x, x[:60], 5), rtol=0, atol=1e-9)
+    train = np.random.default_rng(9).random(len(x)) < 0.4
+    ids = [int(i) for i in np.flatnonzero(train)]
+    donors = df.where(df.rec_id.isin(ids))
+    got = values(knn_impute(df, columns, 5, fit_on=donors, min_block_rows=leaf), columns)
+    assert np.allclose(got, brute(x, x[train], 5), rtol=0, atol=1e-9)
 
 
 def test_scaled_distance(spark):
