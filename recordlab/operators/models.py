@@ -71,11 +71,17 @@ def _columns(estimator: Estimator, features: str, weighted: bool = True) -> Esti
     return estimator.setWeightCol("weight") if weighted else estimator
 
 
+#: the deepest tree Spark builds
+MAX_DEPTH = 30
+
+
 def _fit_rf(seed: int):
     def fit(train: DataFrame, params: Mapping, shape: Shape, features: str) -> list[Transformer]:
+        if params.get("depth", MAX_DEPTH) > MAX_DEPTH:
+            raise ValueError(f"a forest can't be deeper than {MAX_DEPTH}")
         forest = RandomForestClassifier(
             numTrees=params.get("trees", 100),
-            maxDepth=min(params.get("depth", 30), 30),
+            maxDepth=params.get("depth", MAX_DEPTH),
             # a node below 2m rows cannot be split into two children of m rows
             minInstancesPerNode=math.ceil(params.get("min_split", 2) / 2),
             seed=seed,

@@ -104,9 +104,10 @@ def redact(
     dictionary: DataFrame,
     collapse: bool = True,
     word_boundary: bool = False,
+    max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """Add ``text`` (without the terms) and ``hits`` (surface forms in order)."""
-    pattern = F.lit(term_pattern(term_list(dictionary), word_boundary))
+    pattern = F.lit(term_pattern(term_list(dictionary, limit=max_terms), word_boundary))
     source = F.coalesce(F.col(column), F.lit(""))
     hits = F.regexp_extract_all(source, pattern, F.lit(0))
     cleaned = F.regexp_replace(source, pattern, F.lit(""))

@@ -70,8 +70,6 @@ def row_count_and_width(df: DataFrame, features: str) -> tuple[int, int]:
     row = df.agg(F.count("*").alias("n"), F.max(F.size(vector_to_array(features))).alias("d")).first()
     if row["d"] is None:
         raise ValueError("no training rows")
-    if row["d"] > MAX_WIDTH:
-        raise ValueError(f"vectors of width {row['d']}: reduction keeps a d×d matrix on the driver")
     return row["n"], row["d"]
 
 
@@ -144,6 +142,8 @@ def fit_reducer(
     n, d = row_count_and_width(train, features)
     if method == "none":
         return PipelineModel([VectorAssembler(inputCols=[features], outputCol=out)])
+    if d > MAX_WIDTH:
+        raise ValueError(f"vectors of width {d}: {method} keeps a d×d matrix on the driver")
     scaled = f"{out}_scaled"
     stages = fit_standardiser(train, features, scaled, with_std=method != "pca")
     ready = PipelineModel(stages).transform(train)

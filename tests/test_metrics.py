@@ -150,3 +150,12 @@ def test_intervals_do_not_depend_on_partitioning(pred):
     many = sorted(map(tuple, bootstrap_ci(pred.repartition(11), CLASSES, n=10).collect()))
     assert [r[:2] for r in one] == [r[:2] for r in many]
     assert np.allclose([r[2:] for r in one], [r[2:] for r in many])
+
+
+def test_bootstrap_without_a_counting_replicate_keeps_its_rows(spark):
+    from recordlab.operators.bootstrap import bootstrap_ci
+
+    schema = "rec_id bigint, label int, pred int, scores array<double>"
+    one_class = spark.createDataFrame([(i, 0, 0, [0.5, 0.5]) for i in range(4)], schema)
+    rows = bootstrap_ci(one_class, [0, 1], n=3).collect()
+    assert len(rows) == 14 and all(r.n_replicates == 0 and r["mean"] is None for r in rows)

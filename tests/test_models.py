@@ -177,3 +177,10 @@ def test_corpus_vectors_load_or_train(spark, tmp_path):
     again = vectors.fit_corpus_vectors(df.limit(0), size=4, path=path).transform(df).collect()
     assert [r["vector"] for r in first] == [r["vector"] for r in again]
     assert np.linalg.norm(first[0]["vector"]) == pytest.approx(1, abs=1e-6)
+
+
+def test_a_deeper_forest_than_possible_is_an_error(spark):
+    from recordlab.operators.models import _fit_rf
+
+    with pytest.raises(ValueError, match="deeper"):
+        _fit_rf(1)(None, {"depth": 31}, None, "features")
