@@ -22,6 +22,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlab.operators import metrics as M
@@ -203,13 +204,41 @@ def config_name(params: Mapping) -> str:
 
 
 def oversample(df: DataFrame, label: str = "label") -> DataFrame:
-    """Repeat the rows of small classes by the whole factor nearest to balance."""
+    """Repeat rows until every class has as many as the largest one, exactly.
+
+    A class of n rows takes each row ``largest // n`` times and the first ``largest % n`` rows,
+    in the order of a hash, once more. Equal rows are counted before they are ordered, and the
+    order is cut into buckets, so neither a hot class nor a hot row stands in one task. A null
+    label is a class of its own.
+    """
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if len(set(counts.values())) < 2:
+        return df
     largest = max(counts.values())
-    times = F.lit(1)
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("__n")).withColumn("__h", F.xxhash64(*df.columns))
+    rows = rows.withColumn("__b", F.shiftright("__h", 52))
+    buckets = rows.groupBy(label, "__b").agg(F.sum("__n").alias("__s"))
+    before = W.partitionBy(label).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    # 4096 buckets per class
+    starts = buckets.select(
+        F.col(label).alias("__l"), F.col("__b").alias("__k"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o")
+    )
+    same = F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__k"))
+    inside = W.partitionBy(label, "__b").orderBy("__h").rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("__n").over(inside), F.lit(0)) + F.col("__o")
+    placed = rows.join(F.broadcast(starts), same).withColumn("__first", first)
+    whole, more = F.lit(1), F.lit(0)
     for value, n in counts.items():
-        times = F.when(F.col(label) == value, F.lit(round(largest / n))).otherwise(times)
-    return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).drop("__copy")
+        own = F.col(label).eqNullSafe(F.lit(value))
+        whole = F.when(own, F.lit(largest // n)).otherwise(whole)
+        more = F.when(own, F.lit(largest % n)).otherwise(more)
+    extra = F.greatest(F.lit(0), F.least(F.col("__n"), more - F.col("__first")))
+    # copies are exploded in two steps: no array is longer than a million
+    times = placed.withColumn("__t", F.col("__n") * whole + extra)
+    step = 1_000_000
+    parts = times.withColumn("__p", F.explode(F.sequence(F.lit(0), F.floor((F.col("__t") - 1) / step))))
+    left = F.least(F.lit(step), F.col("__t") - F.col("__p") * step).cast("int")
+    return parts.withColumn("__c", F.explode(F.sequence(F.lit(1), left))).select(*df.columns)
 
 
 def label_index(classes: Sequence[int], label: str = "label") -> Column:

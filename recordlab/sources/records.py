@@ -22,14 +22,21 @@ SECTIONS = {
 }
 
 _RAW_ITEMS = f"ARRAY<STRUCT<`{LAB_KEY}`:ARRAY<STRUCT<`{RESULT_KEY}`:STRING>>>>"
+#: one cast reads every field of an item; an item that is no object becomes null
+_ITEMS = (
+    "ARRAY<STRUCT<"
+    + ", ".join(f"`{k}`: STRING" for k in (ITEM_KEY, DATE_KEY, *SEX_KEYS))
+    + "".join(f", `{k}`: VARIANT" for k in (RESULT_KEY, *AGE_KEYS))
+    + ">>"
+)
 
 
 def _get(v: Column, *keys: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, "$" + "".join(f"['{k}']" for k in keys), kind)
 
 
-def _first_text(v: Column, keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.nullif(_get(v, k), F.lit("")) for k in keys], _get(v, keys[0]))
+def _first_text(texts: list[Column]) -> Column:
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], texts[0])
 
 
 def _is(v: Column, kind: str) -> Column:
@@ -59,28 +66,40 @@ def project_records(df: DataFrame, text: str = "value", literals: bool = True) -
     prints 5.0 as 5), which costs a second parse that only the text rendering needs. Items that
     are no objects have only null fields: they count as items but carry nothing.
     """
-    items = F.try_variant_get("doc", f"$['{LAB_KEY}']", "array<variant>")
+    items = F.try_variant_get("doc", f"$['{LAB_KEY}']", _ITEMS)
     if literals:
         raw = F.try_element_at(F.from_json(text, _RAW_ITEMS), F.lit(1))[LAB_KEY][RESULT_KEY]
         raw = F.coalesce(raw, F.array().cast("array<string>"))
     else:
         raw = F.array().cast("array<string>")
 
-    def item(pair: Column) -> Column:
+    def shown(v: Column) -> Column:
+        return F.try_variant_get(v, "$", "string")
+
+    # two steps, so that each type test and each text is made once per item
+    def read(pair: Column) -> Column:
         v = pair["v"]
-        result = _get(v, RESULT_KEY, kind="variant")
-        age = F.coalesce(*[_get(v, k, kind="variant") for k in AGE_KEYS])
-        is_text, age_is_text = _is(result, "STRING"), _is(age, "STRING")
-        shown = F.try_variant_get(result, "$", "string")
+        age = F.coalesce(*[v[k] for k in AGE_KEYS])
+        return F.struct(
+            v.alias("v"),
+            pair["raw"].alias("raw"),
+            _is(v[RESULT_KEY], "STRING").alias("is_text"),
+            shown(v[RESULT_KEY]).alias("shown"),
+            F.when(~_is(age, "STRING"), F.try_variant_get(age, "$", "double")).alias("age_num"),
+            F.array(*[shown(v[k]) for k in AGE_KEYS]).alias("ages"),
+        )
+
+    def item(x: Column) -> Column:
+        v = x["v"]
         return F.struct(
-            _get(v, ITEM_KEY).alias("item"),
-            F.when(~is_text, F.try_variant_get(result, "$", "double")).alias("res_num"),
-            F.when(is_text, shown).alias("res_txt"),
-            F.coalesce(pair["raw"], shown).alias("res_raw"),
-            F.when(~age_is_text, F.try_variant_get(age, "$", "double")).alias("age_num"),
-            _first_text(v, AGE_KEYS).alias("age"),
-            _first_text(v, SEX_KEYS).alias("sex"),
-            F.try_to_date(_get(v, DATE_KEY), "yyyy-MM-dd").alias("test_date"),
+            v[ITEM_KEY].alias("item"),
+            F.when(~x["is_text"], F.try_variant_get(v[RESULT_KEY], "$", "double")).alias("res_num"),
+            F.when(x["is_text"], x["shown"]).alias("res_txt"),
+            F.coalesce(x["raw"], x["shown"]).alias("res_raw"),
+            x["age_num"].alias("age_num"),
+            _first_text([x["ages"][i] for i in range(len(AGE_KEYS))]).alias("age"),
+            _first_text([v[k] for k in SEX_KEYS]).alias("sex"),
+            F.try_to_date(v[DATE_KEY], "yyyy-MM-dd").alias("test_date"),
         )
 
     paired = F.slice(F.arrays_zip(items.alias("v"), raw.alias("raw")), F.lit(1), F.size(items))
@@ -90,7 +109,7 @@ def project_records(df: DataFrame, text: str = "value", literals: bool = True) -
         rec_id = F.coalesce(rec_id, F.regexp_replace("file_name", r"\.[^.]*$", ""))
     keep = [c for c in df.columns if c not in (text, "doc")]
     return df.select(
-        rec_id.alias("rec_id"), *keep, sections.alias("sections"), F.transform(paired, item).alias("labs")
+        rec_id.alias("rec_id"), *keep, sections.alias("sections"), F.transform(F.transform(paired, read), item).alias("labs")
     )
 
 

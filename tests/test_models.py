@@ -184,3 +184,25 @@ def test_a_deeper_forest_than_possible_is_an_error(spark):
 
     with pytest.raises(ValueError, match="deeper"):
         _fit_rf(1)(None, {"depth": 31}, None, "features")
+
+
+def test_oversampling_is_exact(spark):
+    rows = [(0, float(i)) for i in range(140)] + [(1, float(i)) for i in range(60)] + [(1, 1.5)] * 40 + [(2, 7.0)]
+    df = spark.createDataFrame(rows, "label INT, x DOUBLE").repartition(5)
+    out = models.oversample(df)
+    assert out.columns == ["label", "x"]
+    counts = {(r["label"], r["x"]): r["n"] for r in out.groupBy("label", "x").agg(F.count("*").alias("n")).collect()}
+    sizes = {}
+    for (label, _), n in counts.items():
+        sizes[label] = sizes.get(label, 0) + n
+    assert sizes == {0: 140, 1: 140, 2: 140}
+    assert all(counts[(1, float(i))] in (1, 2) for i in range(60)) and 40 <= counts[(1, 1.5)] <= 80
+    again = {(r["label"], r["x"]): r["n"] for r in models.oversample(df.repartition(2)).groupBy("label", "x").agg(F.count("*").alias("n")).collect()}
+    assert again == counts
+    assert models.oversample(df.where("label = 0")).count() == 140
+
+
+def test_vocabulary_is_counted_first(spark):
+    df = spark.createDataFrame([("a b c a b c",)], "text STRING")
+    with pytest.raises(ValueError, match="3 words"):
+        vectors.fit_corpus_vectors(df, size=4, iters=1, max_words=2)
