@@ -11,7 +11,7 @@ from recordlab.operators import narrative as narr
 from recordlab.operators import quality, redact, wide
 from recordlab.registry import fixtures as fx
 from recordlab.registry.fixtures import duck, table
-from recordlab.session import scratch_path
+from recordlab.session import cut_lineage, scratch_path
 from recordlab.sources import records as rec
 from recordlab.sources import tables as io
 
@@ -214,36 +214,27 @@ def records_scan(spark, sf):
     )
 
 
-LANGUAGES = ("en", "de", "fr", "es")
+_SECTION_KEYS = [(name, key, column) for name, (key, _, column) in rec.SECTIONS.items()]
+_SECTION_SQL = ", ".join(
+    f"CASE WHEN doc_id % 4 = {i} THEN COALESCE(text, '') ELSE '' END AS \"{column}\"" for i, (_, _, column) in enumerate(_SECTION_KEYS)
+)
 
 
-@register(
-    "sections",
-    """
-SELECT doc_id, lang, text AS conclusion FROM documents
-UNION ALL SELECT doc_id, 'none', '' FROM documents""",
-)
+@register("sections", f"SELECT CAST(doc_id AS STRING) AS rec_id, {_SECTION_SQL} FROM documents")
 def sections(spark, sf):
-    # each document is a section named by its language; an absent section reads as ''
-    docs = table(spark, sf, "documents").select(
-        "doc_id", "lang", F.try_parse_json(F.to_json(F.create_map("lang", F.struct(F.col("text").alias("检查结论"))))).alias("doc")
-    )
-    own = F.coalesce(
-        *[
-            F.when(F.col("lang") == code, F.try_variant_get("doc", f"$['{code}']['检查结论']", "string"))
-            for code in LANGUAGES
-        ]
-    )
-    absent = F.coalesce(F.try_variant_get("doc", "$['none']['检查结论']", "string"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        F.inline(
-            F.array(
-                F.struct(F.col("lang").alias("lang"), own.alias("conclusion")),
-                F.struct(F.lit("none").alias("lang"), absent.alias("conclusion")),
-            )
-        ),
+    # each document is the conclusion of one of the four sections; an absent one reads as ''
+    def section(i, key):
+        return F.when(F.col("doc_id") % 4 == i, F.struct(F.col("text").alias(key)))
+
+    value = F.to_json(
+        F.struct(
+            F.col("doc_id").cast("string").alias(rec.RECORD_KEY),
+            *[section(i, key).alias(name) for i, (name, key, _) in enumerate(_SECTION_KEYS)],
+        )
     )
+    docs = rec.parse_documents(table(spark, sf, "documents").select(value.alias("value")))
+    records = rec.project_records(docs, literals=False)
+    return wide.wide_table(records, items=[]).select("rec_id", *[column for _, _, column in _SECTION_KEYS])
 
 
 @register("distinct_items", "SELECT DISTINCT CONCAT('item_', CAST(l_linenumber AS STRING)) AS item FROM lineitem")
@@ -296,17 +287,25 @@ def wide_pivot_last_wins(spark, sf):
     "SELECT n_name, CAST(n_nationkey AS BIGINT), 'supplier', s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey",
 )
 def class_union(spark, sf):
-    # nation is the fixed class list (25 rows): class name → label
-    classes = table(spark, sf, "nation").select(
-        F.col("n_name").alias("source"), F.col("n_nationkey").cast("bigint").alias("label")
+    # JSON lines of both tables, one directory per nation; nation is the fixed class list (25 rows)
+    base = scratch_path(spark, "classes")
+    people = [
+        table(spark, sf, name).select(F.col(cls).alias("cls"), F.lit(name).alias("kind"), F.col(key).alias("id"))
+        for name, key, cls in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"))
+    ]
+    both = people[0].unionByName(people[1])
+    value = F.to_json(F.struct(F.col("id").cast("string").alias(rec.RECORD_KEY)))
+    both.select("cls", "kind", value.alias("value")).write.partitionBy("cls", "kind").text(base)
+    used = table(spark, sf, "nation").join(both.select(F.col("cls").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
+    classes = {r["n_name"]: r["n_nationkey"] for r in used.collect()}
+    found = rec.read_records(spark, {n: f"{base}/cls={k}" for n, k in classes.items()}, classes, per_line=True)
+    return found.select(
+        "source",
+        F.col("label").cast("bigint").alias("label"),
+        F.regexp_extract("path", "kind=([a-z]+)", 1).alias("kind"),
+        F.col("rec_id").cast("bigint").alias("rec_id"),
     )
 
-    def of_class(name, key, cls):
-        rows = table(spark, sf, name).select(F.col(cls).alias("label"), F.col(key).alias("rec_id"))
-        return classes.join(rows, "label").select("source", "label", F.lit(name).alias("kind"), "rec_id")
-
-    return of_class("customer", "c_custkey", "c_nationkey").unionByName(of_class("supplier", "s_suppkey", "s_nationkey"))
-
 
 @register(
     "class_missing_dir",
@@ -488,7 +487,7 @@ def column_kinds(spark, sf):
     )
 
 
-_CONTINUOUS = [f"c{i}" for i in range(1, 9)]
+_CONTINUOUS = [c for c in fx.WIDE_VALUES if c != "b1"]
 _FENCES = ", ".join(
     f"QUANTILE_CONT({c}, CAST(0.25 AS DOUBLE)) AS {c}_1, QUANTILE_CONT({c}, CAST(0.75 AS DOUBLE)) AS {c}_3" for c in _CONTINUOUS
 )
@@ -503,8 +502,10 @@ _FENCED = ", ".join(
     duck(f"SELECT rec_id, {_FENCED} FROM lab_wide, (SELECT {_FENCES} FROM lab_wide) f", "lab_wide"),
 )
 def outlier_clear(spark, sf):
-    df = fx.lab_wide(spark, sf).select("rec_id", *_CONTINUOUS)
-    return cols.clear_outliers(df, _CONTINUOUS)
+    df = fx.lab_wide(spark, sf)
+    profile = cols.profile_columns(wide.unpivot_cells(df, fx.WIDE_VALUES))
+    names = [r["column"] for r in profile.where(F.col("kind") == cols.CONTINUOUS).collect()]
+    return cols.clear_outliers(df.select("rec_id", *sorted(names)), sorted(names))
 
 
 @register(
@@ -517,6 +518,7 @@ def outlier_clear(spark, sf):
 )
 def drop_uninformative(spark, sf):
     profile = cols.profile_columns(wide.unpivot_cells(fx.lab_wide(spark, sf), fx.WIDE_VALUES))
+    profile = cut_lineage(profile)  # one row per column, read twice
     return profile.join(cols.uninformative(profile), "column", "left_anti").select(
         F.col("column").alias("column_name")
     )
@@ -532,6 +534,7 @@ def drop_uninformative(spark, sf):
 )
 def drop_high_missing(spark, sf):
     profile = cols.profile_columns(wide.unpivot_cells(fx.lab_wide(spark, sf), fx.WIDE_VALUES))
+    profile = cut_lineage(profile)  # one row per column, read twice
     return profile.join(cols.high_missing(profile, 0.557), "column", "left_anti").select(
         F.col("column").alias("column_name")
     )

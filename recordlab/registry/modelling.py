@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlab.functions.arrays import l2_normalise
@@ -24,6 +25,11 @@ from recordlab.streaming.quality import read_record_stream, start_filter
 QUERIES, ORACLE = {}, {}
 WIDTH = 64
 CLASSES = [0, 1, 2]
+# rows with labels folded into three classes, in md5 order inside their class
+RANKED_THREE = (
+    "SELECT vec_id, label, ROW_NUMBER() OVER (PARTITION BY label ORDER BY MD5(CONCAT('42:', CAST(vec_id AS STRING))), vec_id) AS rn, "
+    "COUNT(*) OVER (PARTITION BY label) AS n FROM (SELECT vec_id, CAST(label % 3 AS INT) AS label FROM embeddings) e"
+)
 
 
 def register(name, sql=None):
@@ -101,16 +107,42 @@ def masked_mean_pool(spark, sf):
     return _cells(vectors.mean_pool(masked, "label", "embedding", "mask"), "label")
 
 
-@register("text_encode")
+_BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\v]"
+_WORDS_SQL = f"LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(COALESCE(text, ''), '{_BLANK}+'), lambda x: x <> '')"
+
+
+def _norm(v):
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+@register(
+    "text_encode",
+    f"SELECT doc_id, CASE WHEN n > 0 THEN CAST(n AS DOUBLE) END AS n_tokens, CASE WHEN n > 0 THEN CAST(1 AS DOUBLE) END AS norm "
+    f"FROM (SELECT doc_id, LEN({_WORDS_SQL}) AS n FROM documents) t",
+)
 def text_encode(spark, sf):
-    return vectors.encode_text(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "vector")
+    # counts add up to the tokens of a text; the scaled vector has length 1; blank text has none
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    counts = vectors.encode_text(docs, "text", normalise=False, out="counts")
+    both = vectors.encode_text(counts, "text")
+    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return both.select("doc_id", total.alias("n_tokens"), F.round(_norm("vector"), 4).alias("norm"))
 
 
-@register("corpus_vectors")
+@register(
+    "corpus_vectors",
+    f"""
+WITH words AS (SELECT doc_id, UNNEST({_WORDS_SQL}) AS w FROM documents),
+known AS (SELECT w FROM words GROUP BY w HAVING COUNT(*) >= 2),
+hit AS (SELECT DISTINCT doc_id FROM words WHERE w IN (SELECT w FROM known))
+SELECT doc_id, 100 AS width, CASE WHEN doc_id IN (SELECT doc_id FROM hit) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm
+FROM documents""",
+)
 def corpus_vectors(spark, sf):
+    # a text has a unit vector exactly when one of its words stands at two places of the corpus
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    model = vectors.fit_corpus_vectors(docs, size=16, iters=1)
-    return model.transform(docs).select("doc_id", "vector")
+    model = vectors.fit_corpus_vectors(docs, iters=1, partitions=8)
+    return model.transform(docs).select("doc_id", F.size("vector").alias("width"), F.round(_norm("vector"), 4).alias("norm"))
 
 
 # --- scaling and reduction ------------------------------------------------------------------
@@ -138,36 +170,115 @@ def standardise(spark, sf):
     return _cells(rows.select("rec_id", vector_to_array("scaled").alias("vector")), "rec_id", places=5)
 
 
-def _reduced(spark, sf, method, n=8, variance=reduce.VARIANCE):
+def _reduced(spark, sf, method, n=reduce.N_COMPONENTS, variance=reduce.VARIANCE):
     rows = labelled(spark, sf)
     model = reduce.fit_reducer(rows, method, n, variance)
     return reduce.reduce_rows(model, rows).select("rec_id", "label", vector_to_array("reduced").alias("vector"))
 
 
-register("pca")(lambda spark, sf: _reduced(spark, sf, "pca"))
-register("scaled_pca")(lambda spark, sf: _reduced(spark, sf, "scaled_pca"))
-register("auto_pca")(lambda spark, sf: _reduced(spark, sf, "auto", 64, 0.5))
-register("lda_axes")(lambda spark, sf: _reduced(spark, sf, "lda"))
+def _square(v="vector"):
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+
+
+def _square_sql(cell):
+    return duck(
+        f"SELECT vec_id AS rec_id, CAST(label % 3 AS INT) AS label, ROUND(SUM(s * s), 4) AS square FROM "
+        f"(SELECT vec_id, label, {cell} AS s FROM cells) t GROUP BY vec_id, label",
+        cells=_DUCK_CELLS,
+    )
+
+
+_CENTRED = "(v - AVG(v) OVER (PARTITION BY dim))"
+_SCALED = f"{_CENTRED} / STDDEV_POP(v) OVER (PARTITION BY dim)"
+
+
+def _squares(method):
+    # all 64 components: a rotation keeps the length of the centred (scaled) row
+    return lambda spark, sf: _reduced(spark, sf, method).select("rec_id", "label", F.round(_square(), 4).alias("square"))
+
+
+register("pca", _square_sql(_CENTRED))(_squares("pca"))
+register("scaled_pca", _square_sql(_SCALED))(_squares("scaled_pca"))
+
+
+@register("auto_pca", "SELECT vec_id AS rec_id, CAST(label % 3 AS INT) AS label, TRUE AS enough, TRUE AS fewest FROM embeddings")
+def auto_pca(spark, sf):
+    # the share of the kept components reaches the wanted one, without the last it does not
+    rows = _reduced(spark, sf, "auto")
+    n, d = reduce.row_count_and_width(labelled(spark, sf), "features")
+    parts = rows.agg(
+        F.sum(_square()).alias("all"), F.sum(F.element_at("vector", -1) * F.element_at("vector", -1)).alias("last")
+    ).first()
+    enough = parts["all"] / (n * d) >= reduce.VARIANCE - 1e-9
+    fewest = (parts["all"] - parts["last"]) / (n * d) < reduce.VARIANCE
+    return rows.select("rec_id", "label", F.lit(enough).alias("enough"), F.lit(fewest).alias("fewest"))
+
+
+@register(
+    "lda_axes",
+    "SELECT vec_id AS rec_id, CAST(label % 3 AS INT) AS label, 2 AS n_axes, TRUE AS centred, TRUE AS whitened FROM embeddings",
+)
+def lda_axes(spark, sf):
+    # discriminants have mean 0, and inside the classes variance 1 and no covariance
+    rows = cut_lineage(_reduced(spark, sf, "lda"))
+    x, y = F.col("vector")[0], F.col("vector")[1]
+    sums = rows.groupBy("label").agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in (("x", x), ("y", y), ("xx", x * x), ("xy", x * y), ("yy", y * y))]
+    ).collect()
+    n = sum(r["n"] for r in sums)
+
+    def within(a, b):
+        return sum(r[a + b] - r[a] * r[b] / r["n"] for r in sums) / (n - len(sums))
+
+    centred = all(abs(sum(r[a] for r in sums)) < 1e-6 * n for a in "xy")
+    whitened = all(abs(within(*ab) - one) < 1e-6 for ab, one in (("xx", 1), ("xy", 0), ("yy", 1)))
+    return rows.select(
+        "rec_id", "label", F.size("vector").alias("n_axes"), F.lit(centred).alias("centred"), F.lit(whitened).alias("whitened")
+    )
+
+
 register(
     "no_reduction",
     duck("SELECT vec_id AS rec_id, CAST(label % 3 AS INT) AS label, CAST(dim AS INT) AS dim, ROUND(v, 6) AS v FROM cells", cells=_DUCK_CELLS),
 )(lambda spark, sf: _cells(_reduced(spark, sf, "none"), "rec_id", "label"))
 
 
-@register("variance_table")
+@register(
+    "variance_table",
+    "SELECT CAST(range + 1 AS INT) AS component, TRUE AS falling, CAST(1 AS DOUBLE) AS total FROM range((SELECT MAX(LEN(embedding)) FROM embeddings))",
+)
 def variance_table(spark, sf):
+    # the shares of all components never rise and add up to 1
     rows = labelled(spark, sf)
-    return reduce.variance_table(reduce.fit_reducer(rows, "scaled_pca", 16), rows)
+    found = reduce.variance_table(reduce.fit_reducer(rows, "scaled_pca"), rows)
+    before = W.orderBy("component")  # one row per component
+    return found.select(
+        "component",
+        (F.coalesce(F.lag("ratio").over(before), F.lit(1.0)) >= F.col("ratio")).alias("falling"),
+        F.round(F.max("cumulative").over(W.partitionBy()), 6).alias("total"),
+    )
+
 
+_FOLD_SQL = duck(
+    "SELECT fold, CASE WHEN own = fold THEN 'val' ELSE 'train' END AS role, rec_id, ROUND(SUM(s * s), 4) AS square FROM ("
+    "SELECT c.fold, c.own, c.vec_id AS rec_id, (c.v - m.a) / m.d AS s FROM spread c JOIN moments m ON c.fold = m.fold AND c.dim = m.dim) t "
+    "GROUP BY fold, own, rec_id",
+    cells=_DUCK_CELLS,
+    folds=f"SELECT vec_id, CAST((rn - 1) % 5 AS INT) AS own FROM ({RANKED_THREE}) t",
+    spread="SELECT f.range::INT AS fold, own, c.vec_id, dim, v FROM cells c JOIN folds ON c.vec_id = folds.vec_id, range(5) f",
+    moments="SELECT fold, dim, AVG(v) AS a, STDDEV_POP(v) AS d FROM spread WHERE own <> fold GROUP BY fold, dim",
+)
 
-@register("per_fold_reduce")
+
+@register("per_fold_reduce", _FOLD_SQL)
 def per_fold_reduce(spark, sf):
     rows = cut_lineage(splits.kfold(labelled(spark, sf), "rec_id"))
     frames = []
     for i in range(splits.N_FOLDS):
-        train, val, _ = reduced_pair(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), "scaled_pca", 4, 0.95)
+        train, val, _ = reduced_pair(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), "scaled_pca", reduce.N_COMPONENTS, reduce.VARIANCE)
         for role, part in (("train", train), ("val", val)):
-            frames.append(part.select(F.lit(i).alias("fold"), F.lit(role).alias("role"), "rec_id", vector_to_array("features").alias("vector")))
+            square = F.round(_square(vector_to_array("features")), 4)
+            frames.append(part.select(F.lit(i).alias("fold"), F.lit(role).alias("role"), "rec_id", square.alias("square")))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
@@ -194,8 +305,6 @@ def feature_join(spark, sf):
 
 # --- imputation and full cleaning -------------------------------------------------------------
 
-# four columns keep the all-pairs SQL at some seconds; every row takes part
-_KNN_COLUMNS = ["c1", "c2", "c3", "c8"]
 _ALL_COLUMNS = [f"c{i}" for i in range(1, 9)]
 
 
@@ -224,10 +333,10 @@ def _knn_sql(columns, donors="TRUE"):
     )
 
 
-@register("knn_impute", _knn_sql(_KNN_COLUMNS))
+@register("knn_impute", _knn_sql(_ALL_COLUMNS))
 def knn(spark, sf):
-    filled = knn_impute(fx.lab_wide(spark, sf).select("rec_id", *_KNN_COLUMNS), _KNN_COLUMNS)
-    return filled.withColumns({c: F.round(c, 6) for c in _KNN_COLUMNS})
+    filled = knn_impute(fx.lab_wide(spark, sf).select("rec_id", *_ALL_COLUMNS), _ALL_COLUMNS)
+    return filled.withColumns({c: F.round(c, 6) for c in _ALL_COLUMNS})
 
 
 @register("knn_impute_train_donors", _knn_sql(_ALL_COLUMNS, "rec_id % 5 > 0"))
@@ -261,18 +370,32 @@ def _holdout(spark, sf):
     return train.persist(), test, model
 
 
+def _judged(found):
+    """Scores of a row add up to 1, and the prediction has the highest."""
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    best = F.col("scores")[F.array_position(F.lit(CLASSES), F.col("pred")).cast("int") - 1] >= F.array_max("scores")
+    return found.select("rec_id", "label", F.round(total, 6).alias("total"), best.alias("pred_is_best"))
+
+
+_JUDGED = "rec_id, label, CAST(1 AS DOUBLE) AS total, TRUE AS pred_is_best"
+_HOLDOUT_SQL = (
+    f"SELECT {_JUDGED} FROM (SELECT vec_id AS rec_id, label, rn, n FROM ({RANKED_THREE}) r) t "
+    "WHERE rn <= FLOOR(CAST(0.2 AS DOUBLE) * n + CAST(0.5 AS DOUBLE))"
+)
+
+
 def _model_query(name):
     def run(spark, sf):
         algorithm = models.algorithms(grid=False)[name]
         train, test, _ = _holdout(spark, sf)
         model = models.fit_classifier(algorithm, train, SMALL[name], CLASSES)
-        return models.predict(model, algorithm, test, CLASSES, ["rec_id"])
+        return _judged(models.predict(model, algorithm, test, CLASSES, ["rec_id"]))
 
     return run
 
 
 for _name in SMALL:
-    register(f"model_{_name.lower()}")(_model_query(_name))
+    register(f"model_{_name.lower()}", _HOLDOUT_SQL)(_model_query(_name))
 
 
 def _grid_of(name, **grid):
@@ -299,7 +422,7 @@ def refit_holdout(spark, sf):
     return M.evaluate(both, CLASSES, ["role"])
 
 
-@register("bundle_apply")
+@register("bundle_apply", f"SELECT {_JUDGED} FROM (SELECT vec_id AS rec_id, CAST(label % 3 AS INT) AS label FROM embeddings) t")
 def bundle_apply(spark, sf):
     # reducer, bridge and classifier in one saved pipeline, applied to raw rows
     train, _, reducer = _holdout(spark, sf)
@@ -309,7 +432,7 @@ def bundle_apply(spark, sf):
     bundle = bundle_of(reducer, fitted)
     models.save_bundle(spark, path, bundle, "LR", SMALL["LR"], CLASSES)
     model, loaded, classes, _ = models.load_bundle(spark, path)
-    return models.predict(model, loaded, labelled(spark, sf), classes, ["rec_id"])
+    return _judged(models.predict(model, loaded, labelled(spark, sf), classes, ["rec_id"]))
 
 
 def _parts(spark, sf):
@@ -349,13 +472,14 @@ def compare_train_cv_holdout(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in found.columns if c != "algorithm"})
 
 
-@register("run_report")
+@register("run_report", f"SELECT c.*, '{{}}' AS params, CAST(NULL AS DOUBLE) AS cv_score FROM ({_COMPARE_SQL}) c")
 def report(spark, sf):
     folds = cut_lineage(M.evaluate(fx.algorithms(spark, sf), CLASSES, ["algorithm", "fold"]))
     tables = run_report(spark, folds, {n: ({}, None) for n in "ABC"}, cut_lineage(_parts(spark, sf)))
     path = scratch_path(spark, "report")
     io.write_tables(tables, path)
-    return spark.read.parquet(f"{path}/comparison").join(spark.read.parquet(f"{path}/chosen"), "algorithm")
+    both = spark.read.parquet(f"{path}/comparison").join(spark.read.parquet(f"{path}/chosen"), "algorithm")
+    return both.withColumns({c: F.round(c, 6) for c in both.columns if c not in ("algorithm", "params", "cv_score")})
 
 
 @register("run_study")
