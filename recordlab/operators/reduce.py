@@ -215,9 +215,26 @@ def diagnostics(model: PipelineModel, train: DataFrame, val: DataFrame, method:
     }
 
 
-def append_features(df: DataFrame, extra: Sequence[str], reduced: str = "reduced", out: str = "features_all") -> DataFrame:
-    """Reduced vector followed by further numeric columns, unscaled; a null in them is an error."""
-    return VectorAssembler(inputCols=[reduced, *extra], outputCol=out).transform(df)
+#: fixed value: what a missing further feature is for a classifier
+MISSING_FEATURE = -1.0
+
+
+def append_features(
+    df: DataFrame,
+    extra: Sequence[str],
+    reduced: str = "reduced",
+    out: str = "features_all",
+    missing: float | None = MISSING_FEATURE,
+) -> DataFrame:
+    """Reduced vector followed by further numeric columns, unscaled; the columns stay as they are.
+
+    A null among them enters the vector as ``missing``; with ``missing=None`` it is an error.
+    """
+    if missing is None:
+        return VectorAssembler(inputCols=[reduced, *extra], outputCol=out).transform(df)
+    filled = {f"__extra{i}": F.coalesce(F.col(c).cast("double"), F.lit(missing)) for i, c in enumerate(extra)}
+    joined = VectorAssembler(inputCols=[reduced, *filled], outputCol=out).transform(df.withColumns(filled))
+    return joined.drop(*filled)
 
 
 def as_features(df: DataFrame, vector: str = "vector", out: str = "features") -> DataFrame:

@@ -33,12 +33,13 @@ def curate(
 ) -> dict[str, DataFrame]:
     """``records, statistics, corpus, wide, rejects``; written below ``out`` when given.
 
-    One scan and one chain of row filters; the two outputs branch from the checkpointed records.
+    The records are parsed once: statistics, corpus and wide table branch from the checkpointed
+    statistics rows. Rejects read the inputs again when they are asked for.
     """
     documents = rec.read_documents(spark, dirs, labels, per_line)
     readable = rec.project_records(documents.where(F.col("doc").isNotNull()))
-    stats, kept = quality_stages(readable, threshold, min_age)
-    kept = cut_lineage(kept)
+    stats = cut_lineage(quality_stages(readable, threshold, min_age)[0])
+    kept = quality.filter_quality(stats, threshold, min_age)
     result = {
         "records": kept,
         "statistics": stats.select("source", "rec_id", "file_name", *io.STATISTICS_COLUMNS),

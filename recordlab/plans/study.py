@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recordlab.operators import bootstrap, models, reports, splits
 from recordlab.operators import metrics as M
 from recordlab.operators.reduce import (
+    MISSING_FEATURE,
     N_COMPONENTS,
     VARIANCE,
     append_features,
@@ -65,17 +66,23 @@ def run_study(
     variance: float = VARIANCE,
     split: str = "random",
     date: str | None = None,
+    train_years: tuple[int, int] = splits.TRAIN_YEARS,
+    test_years: tuple[int, int] = splits.TEST_YEARS,
     test_size: float = splits.TEST_SIZE,
     k: int = splits.N_FOLDS,
     algorithms: Mapping[str, models.Algorithm] | None = None,
     scoring: str = models.SCORING,
     n_bootstrap: int = bootstrap.N_BOOTSTRAP,
+    bootstrap_mode: str = "exact",
     seed: int = splits.SEED,
     parallelism: int = 1,
     out: str | None = None,
 ) -> dict[str, DataFrame]:
     """``features`` has ``key, label, features`` and optional numeric ``extra`` columns.
 
+    A null in ``extra`` is a feature of -1. A time split takes both year ranges with their ends;
+    ``bootstrap_mode`` is ``exact`` or, for very large hold-outs, ``poisson``.
+
     Returns the report tables plus ``predictions``, ``holdout`` (metrics per algorithm and
     role), ``class_report``, ``confusion``, ``roc`` and ``intervals``. With ``out`` the tables,
     modelling data, reducer diagnostics, models and options are saved.
@@ -85,7 +92,7 @@ def run_study(
     if split == "time":
         if date is None:
             raise ValueError("a time split needs the date column")
-        parts = splits.split_time(features, date).drop(date)
+        parts = splits.split_time(features, date, train_years, test_years).drop(date)
     elif split == "random":
         parts = splits.split_random(features, key, test_size=test_size, seed=seed)
     else:
@@ -142,7 +149,7 @@ def run_study(
     held_out = predictions.where(F.col("role") == splits.TEST)
     intervals = _union(
         [
-            bootstrap.bootstrap_ci(held_out.where(F.col("algorithm") == name), classes, key, n_bootstrap, seed=seed).select(
+            bootstrap.bootstrap_ci(held_out.where(F.col("algorithm") == name), classes, key, n_bootstrap, seed=seed, mode=bootstrap_mode).select(
                 F.lit(name).alias("algorithm"), "*", bootstrap.interval_text().alias("interval")
             )
             for name in algorithms
@@ -173,6 +180,9 @@ def run_study(
                 "algorithms": ",".join(algorithms),
                 "scoring": scoring,
                 "n_bootstrap": n_bootstrap,
+                "bootstrap_mode": bootstrap_mode,
+                "train_years": list(train_years),
+                "test_years": list(test_years),
                 "seed": seed,
                 "classes": list(classes),
                 "extra": ",".join(extra),
@@ -187,9 +197,11 @@ def bundle_of(reducer: PipelineModel, classifier: PipelineModel, extra: Sequence
 
     The classifier reads ``features``, which holds the raw vector until the reducer is done.
     """
+    filled = [f"__extra{i}" for i in range(len(extra))]
+    values = "".join(f", COALESCE(CAST(`{c}` AS DOUBLE), {MISSING_FEATURE}D) AS {f}" for c, f in zip(extra, filled))
     bridge = [
-        SQLTransformer(statement="SELECT * EXCEPT (features) FROM __THIS__"),
-        VectorAssembler(inputCols=["reduced", *extra], outputCol="features"),
+        SQLTransformer(statement=f"SELECT * EXCEPT (features){values} FROM __THIS__"),
+        VectorAssembler(inputCols=["reduced", *filled], outputCol="features"),
     ]
     return PipelineModel([*reducer.stages, *bridge, *classifier.stages])
 

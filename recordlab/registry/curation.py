@@ -310,11 +310,12 @@ def class_union(spark, sf):
 @register(
     "class_missing_dir",
     """
-SELECT c_custkey AS rec_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+SELECT c_custkey AS rec_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def class_missing_dir(spark, sf):
     wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("rec_id"))
-    found = table(spark, sf, "orders").select(F.col("o_custkey").alias("rec_id"))
+    # customers without a finished order
+    found = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("rec_id"))
     return rec.missing_classes(wanted, found, "rec_id")
 
 
@@ -593,3 +594,21 @@ def io_roundtrip(spark, sf):
         .unionByName(line("wide", wide_back, F.col("c1")))
         .unionByName(line("labels", labels, F.col("label")))
     )
+
+
+@register(
+    "corpus_lines",
+    duck(
+        "SELECT ROW_NUMBER() OVER (ORDER BY CAST(rec_id AS STRING)) - 1 AS line_no, CAST(rec_id AS STRING) AS rec_id, "
+        "CAST(rec_id % 3 AS INT) AS label, text FROM texts",
+        "lab_long",
+        texts=_NARRATIVE,
+    ),
+)
+def corpus_lines(spark, sf):
+    # text, label and key of one record stand on the same line of their three files
+    base = scratch_path(spark, "corpus")
+    records = rec.project_records(rec.parse_documents(as_json(spark, sf).select("value")))
+    io.write_corpus(narr.narrative(records.withColumn("label", F.col("rec_id").cast("bigint") % 3), "label"), base)
+    keys = io.read_lines(spark, f"{base}/keys").select("line_no", F.col("text").alias("rec_id"))
+    return io.read_corpus(spark, base).join(io.read_labels(spark, f"{base}/labels"), "line_no").join(keys, "line_no")

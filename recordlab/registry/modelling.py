@@ -333,10 +333,15 @@ def _knn_sql(columns, donors="TRUE"):
     )
 
 
-@register("knn_impute", _knn_sql(_ALL_COLUMNS))
-def knn(spark, sf):
-    filled = knn_impute(fx.lab_wide(spark, sf).select("rec_id", *_ALL_COLUMNS), _ALL_COLUMNS)
-    return filled.withColumns({c: F.round(c, 6) for c in _ALL_COLUMNS})
+def _knn(spark, sf, columns):
+    filled = knn_impute(fx.lab_wide(spark, sf).select("rec_id", *columns), columns)
+    return filled.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# a table of four columns, and one of all eight, where gaps mix more and bounds prune less
+_FOUR_COLUMNS = ["c1", "c2", "c3", "c8"]
+register("knn_impute", _knn_sql(_FOUR_COLUMNS))(lambda spark, sf: _knn(spark, sf, _FOUR_COLUMNS))
+register("knn_impute_all", _knn_sql(_ALL_COLUMNS))(lambda spark, sf: _knn(spark, sf, _ALL_COLUMNS))
 
 
 @register("knn_impute_train_donors", _knn_sql(_ALL_COLUMNS, "rec_id % 5 > 0"))

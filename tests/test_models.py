@@ -206,3 +206,19 @@ def test_vocabulary_is_counted_first(spark):
     df = spark.createDataFrame([("a b c a b c",)], "text STRING")
     with pytest.raises(ValueError, match="3 words"):
         vectors.fit_corpus_vectors(df, size=4, iters=1, max_words=2)
+
+
+def test_missing_extra_features(spark):
+    rows = [(i, i % 2, Vectors.dense([float(i), float(i * i % 7)]), None if i % 3 else float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, ["rec_id", "label", "features", "x"])
+    train, val, reducer = reduced_pair(df.where("rec_id < 30"), df.where("rec_id >= 30"), "none", 2, 0.95, ["x"])
+    got = {r["rec_id"]: (list(r["features"])[2], r["x"]) for r in train.union(val).collect()}
+    assert got == {r[0]: (-1.0 if r[3] is None else r[3], r[3]) for r in rows}
+    algorithm = models.algorithms(grid=False)["LR"]
+    fitted = models.fit_classifier(algorithm, train, {"iterations": 5}, [0, 1])
+    from recordlab.plans.study import bundle_of
+
+    bundle = bundle_of(reducer, fitted, ["x"])
+    direct = {r["rec_id"]: r["pred"] for r in models.predict(fitted, algorithm, val, [0, 1], ["rec_id"]).collect()}
+    whole = {r["rec_id"]: r["pred"] for r in models.predict(bundle, algorithm, df.where("rec_id >= 30"), [0, 1], ["rec_id"]).collect()}
+    assert direct == whole and len(whole) == 10
