@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from recordlab.llm.common import stored
 
-#: seven tokens count in each; the second fits where the first meets a substituted token
-MASKS = ("110100110101", "111010010011")
+#: six tokens count in each; one of them is free of substitutions wherever an item of ``LEAST``
+#: tokens or more passes the check with the default window and share (enumerated in the tests)
+MASKS = ("1101111", "111010011", "11100100011")
+LEAST = 12
+#: masks of shorter items by their tokens, with the same promise; below five tokens the whole item
+SHORT = {n: ("1" * n,) for n in range(1, 5)} | {5: ("1101", "111")}
+SHORT |= {n: ("11011", "1111") for n in (6, 7)} | {n: ("111011", "11111") for n in (8, 9)} | {n: ("111011", "11010011", "11111") for n in (10, 11)}
 WINDOW = 20
 SHARE = 0.8
 #: item positions that may be broadcast (8 bytes of hash and a few of payload each)
@@ -33,23 +38,29 @@ def tokens(text: Column) -> Column:
 def _seeds(words: str, masks: Sequence[str]) -> Column:
     """Array of (pos, hash) for every mask at every position of the token array."""
 
-    def laid(number: int, mask: str) -> Column:
+    def laid(mask: str) -> Column:
         ones = [i for i, c in enumerate(mask) if c == "1"]
         last = F.size(words) - len(mask)
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
         def seed(i: Column) -> Column:
             cared = [F.get(F.col(words), i + o) for o in ones]
-            return F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *cared).alias("hash"))
+            return F.struct(i.alias("pos"), F.xxhash64(F.lit(int(mask, 2)), *cared).alias("hash"))
 
         return F.transform(at, seed)
 
-    return F.concat(*[laid(n, mask) for n, mask in enumerate(masks)])
+    return F.concat(*[laid(mask) for mask in masks])
 
 
 def seed_hits(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
     """Distinct ``key, item, diagonal`` of ``docs(key, words)`` and ``items(item, item_words)``."""
-    seeds = items.select("item", F.explode(_seeds("item_words", masks)).alias("s"))
+    short = F.size("item_words")
+    sizes = sorted(r[0] for r in items.where(short.between(1, LEAST - 1)).select(short).distinct().collect())
+    own = _seeds("item_words", masks)
+    for n in sizes:
+        own = F.when(short == n, _seeds("item_words", SHORT[n])).otherwise(own)
+    masks = list(dict.fromkeys([*masks, *(m for n in sizes for m in SHORT[n])]))  # documents meet all that are in use
+    seeds = items.select("item", F.explode(own).alias("s"))
     seeds = stored(seeds.select(F.col("s.hash").alias("seed"), "item", F.col("s.pos").alias("item_pos")).distinct(), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     found = docs.select("key", F.explode(_seeds("words", masks)).alias("s")).select("key", "s.hash", "s.pos")
@@ -112,9 +123,9 @@ def contaminated(
 ) -> DataFrame:
     """``id, item, matched, width``: every document and item with a verified overlap, once.
 
-    ``matched`` of ``width`` tokens agree in the best window. Null and empty texts have no
-    tokens; a document or item with fewer tokens than the shortest mask has no seed and no
-    result. Equal rows give one result; a null id is a document of its own text. Other columns
+    ``matched`` of ``width`` tokens agree in the best window. With the default masks, window and
+    share every overlap has a seed, whatever tokens are substituted. Null and empty texts have no
+    tokens and no result. Equal rows give one result; a null id is a document of its own text. Other columns
     aren't read. An empty table on either side gives no rows.
     """
     found = _overlaps(docs, items, id, text, item, item_text, masks, window, share)
