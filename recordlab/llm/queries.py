@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from recordlab.llm.alignment import alignment_scores
 from recordlab.llm.bpe import decode, encode
 from recordlab.llm.common import load
 from recordlab.llm.decontaminate import contaminated
@@ -16,6 +17,7 @@ from recordlab.llm.sentence_spans import remove_repeated_spans
 from recordlab.llm.simhash import simhash_groups
 from recordlab.llm.suffix_dedup import remove_repeats
 from recordlab.llm.urls import url_verdicts
+from recordlab.llm.whitening import whiten
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -132,6 +134,16 @@ FROM (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       FROM documents) t
 WINDOW g AS (PARTITION BY norm)"""
 
+
+def op12_chebyshev_whitening(spark, sf):
+    return whiten(load(spark, sf, "embeddings"))
+
+
+def op13_anchor_alignment(spark, sf):
+    files = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment_scores(load(spark, sf, "documents"), *files)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_rules": op2_url_rules,
@@ -143,5 +155,7 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_chebyshev_whitening": op12_chebyshev_whitening,
+    "op13_anchor_alignment": op13_anchor_alignment,
 }
 ORACLE = {"op2_url_rules": OP2_SQL, "op3_sentence_spans": OP3_SQL, "op10_exact_dedup": OP10_SQL}
