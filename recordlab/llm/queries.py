@@ -12,6 +12,7 @@ from recordlab.llm.decontaminate import contaminated
 from recordlab.llm.exact_dedup import exact_dedup
 from recordlab.llm.language import held_out, predict, train
 from recordlab.llm.length_histogram import length_counts, suffix_sums
+from recordlab.llm.ngram_model import score_documents
 from recordlab.llm.quality import quality_scores
 from recordlab.llm.sentence_spans import remove_repeated_spans
 from recordlab.llm.simhash import simhash_groups
@@ -135,6 +136,11 @@ FROM (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 WINDOW g AS (PARTITION BY norm)"""
 
 
+def op11_elias_fano_lm(spark, sf):
+    tenth = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return score_documents(load(spark, sf, "documents").select("doc_id", "text"), tenth)
+
+
 def op12_chebyshev_whitening(spark, sf):
     return whiten(load(spark, sf, "embeddings"))
 
@@ -155,6 +161,7 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_elias_fano_lm": op11_elias_fano_lm,
     "op12_chebyshev_whitening": op12_chebyshev_whitening,
     "op13_anchor_alignment": op13_anchor_alignment,
 }
