@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +51,33 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_scopes", default=())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _SCOPES.get():
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(made: list[str]) -> Iterator[list[str]]:
+    """Notes in ``made`` every scratch path that this thread takes inside, for ``drop_scratch``."""
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield made
+    finally:
+        _SCOPES.reset(token)
+
+
+def drop_scratch(spark: SparkSession, made: list[str]) -> None:
+    """Removes scratch tables whose readers are done. A table that has been written from them, or
+    checkpointed, no longer needs them; a DataFrame that still reads them fails."""
+    while made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
