@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -86,13 +87,29 @@ def test_documents(spark, sf, both):
     check(spark, both, rows)
 
 
-def test_small_memory_gives_the_same(spark, sf, both, monkeypatch):
-    monkeypatch.setattr(alignment, "REMEMBERED", 3)
+def test_repeated_windows(both):
     pair = alignment.Pair(*(open(f, "rb").read() for f in FILES))
     text = "the old mill beside the river keeps the old boat"
-    (a, b), whole = pair.encode([text])[0], brute(both, [text])[0]
-    groups, links = pair.align(text, a, b)
-    assert hashlib.sha256(";".join(groups).encode()).hexdigest() == whole[6] and len(links) == whole[3]
+    coded, whole = pair.encode([text, "", text]), brute(both, [text])[0]
+    for found in pair.align([text, "", text], coded)[::2]:
+        assert hashlib.sha256(found[0]).hexdigest() == whole[6] and len(found[1]) == whole[3]
+    assert pair.align([text, ""], pair.encode([text, ""]))[1] is None
+
+
+def test_windows_with_equal_hashes(monkeypatch):
+    """Without any mixing, windows of different ids meet and must be told apart."""
+    ids, stops = np.array([1, 2, 3, 1, 2, 3]), np.array([1, 3, 4, 6])
+    monkeypatch.setattr(alignment.np, "unique", lambda x, **_: (x[:1], np.array([0]), np.zeros(len(x), dtype=int)))
+    first, back = alignment._same_windows([ids, ids], [stops, stops])
+    assert first[back].tolist() == [0, 1, 0, 3]
+
+
+def test_rank_form_of_the_file(both):
+    """Every kind of character, encoded by ranks and by the library of the file."""
+    pair = alignment.Pair(*(open(f, "rb").read() for f in FILES))
+    points = [c for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000] + list(range(0x3100))
+    texts = [f" a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}! {chr(c)} z" for c in points]
+    assert pair.encode_a(texts) == [e.ids for e in both[0].encode_batch(texts, add_special_tokens=False)]
 
 
 def test_empty_table_and_plain_groups(spark):
