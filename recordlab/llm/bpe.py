@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordlab.llm.common import small_batches, stored, whole_text
+from recordlab.llm.common import fresh, named, small_batches, stored, whole_text
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -191,14 +191,15 @@ def encode(
     shared = vocabulary(docs.sparkSession, ranks, pattern)
     rest = docs.drop(ids) if ids != text else docs
     body = whole_text(text)
-    order = [c for c in docs.columns if c != ids] + [ids]
+    order = named([c for c in docs.columns if c != ids] + [ids])
     short = rest.where(F.length(body) <= chunk).withColumn(ids, _encoder(shared)(body))
     long = rest.where(F.length(body) > chunk)
     key = F.sha2(body, 256)
     coded = _encode_long(long.select(key.alias("key"), body.alias("text")), shared, chunk, overlap)
-    coded = coded.select(F.col("key").alias("__key"), F.col("ids").alias("__ids"))
-    joined = long.withColumn("__own", key).join(coded, F.col("__own") == F.col("__key"))
-    return short.select(*order).unionByName(joined.withColumn(ids, F.col("__ids")).select(*order))
+    own, met, found = fresh([*docs.columns, ids], "own", "met", "found")
+    coded = coded.select(F.col("key").alias(met), F.col("ids").alias(found))
+    joined = long.withColumn(own, key).join(coded, F.col(own) == F.col(met))
+    return short.select(*order).unionByName(joined.withColumn(ids, F.col(found)).select(*order))
 
 
 def decode(coded: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:

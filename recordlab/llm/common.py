@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,5 +37,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, changed where a column (in any case) has them already."""
+    seen, out = {name.lower() for name in taken}, []
+    for name in wanted:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(names: Iterable[str]) -> list[Column]:
+    """Columns by name, also where a name holds dots."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names]
+
+
+def columns(df: DataFrame, but: Iterable[str] = ()) -> list[Column]:
+    """All columns but the named ones."""
+    return named(c for c in df.columns if c not in but)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlab.llm.common import stored
+from recordlab.llm.common import fresh, stored
 
 #: six tokens count in each; one of them is free of substitutions wherever an item of ``LEAST``
 #: tokens or more passes the check with the default window and share (enumerated in the tests)
@@ -144,8 +144,14 @@ def drop_contaminated(
     window: int = WINDOW,
     share: float = SHARE,
 ) -> DataFrame:
-    """``docs`` without the documents that overlap any benchmark item, all columns unchanged."""
+    """``docs`` without the documents that overlap any benchmark item, all columns unchanged.
+
+    Rows that share id and text go together; null and empty texts, having no tokens, stay; an
+    empty table gives no rows, an empty benchmark leaves all of them.
+    """
     bad = _overlaps(docs, items, id, text, item, item_text, masks, window, share)
-    bad = bad.select(F.col("key").alias("__key"), F.col("id").alias("__id")).distinct()
-    same = (_key(id, text) == F.col("__key")) & F.col(id).eqNullSafe(F.col("__id"))
-    return docs.join(bad, same, "left_anti")
+    met, owner = fresh(docs.columns, "met", "owner")
+    bad = stored(bad.select(F.col("key").alias(met), F.col("id").alias(owner)).distinct(), "leaks")
+    few = bad.count() <= BROADCAST_SEEDS
+    same = (_key(id, text) == F.col(met)) & F.col(id).eqNullSafe(F.col(owner))
+    return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")

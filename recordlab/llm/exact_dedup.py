@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlab.llm.common import ascii_lower, stored, whole_text
+from recordlab.llm.common import ascii_lower, columns, stored, whole_text
 
 HOT = 10_000
 SALTS = 32
@@ -86,13 +86,25 @@ def exact_dedup(
     )
 
 
-def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without exact copies, all columns unchanged.
+def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+    """``docs`` without exact copies, all columns unchanged whatever their names.
 
-    Rows that repeat both id and text shrink to one of them.
+    The same three stages carry whole rows, so each row moves once (rows of a hot digest, one for
+    each salt, twice). Of equal texts the row with the largest id stays, one of several that share
+    it; a null id only where all are null. Null and empty texts are equal; an empty table gives
+    no rows.
     """
-    kept = exact_dedup(docs, id, text).where("kept").select(F.col(id).alias("__id"), F.col("digest").alias("__digest"))
-    own = docs.withColumn("__sha", _sha(ascii_lower(whole_text(text))))
-    same = own[id].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest"))
-    left = own.join(kept.distinct(), same, "left_semi")
-    return left.dropDuplicates([id, "__sha"]).select(*docs.columns)
+    whole = F.struct(*columns(docs)).alias("row")
+    # a struct that holds a null id is below all others, and no null itself
+    rows = docs.select(ascii_lower(whole_text(text)).alias("norm"), F.struct(F.col(id).alias("id")).alias("rank"), whole)
+    rows = rows.withColumn("short", F.xxhash64("norm"))
+    counts = stored(rows.groupBy("short").agg(F.count("*").alias("n")), "copy-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(total // HOT, 64)).select("short", F.lit(True).alias("is_hot"))
+    marked = rows.join(F.broadcast(hot), "short", "left").withColumn("digest", _sha(F.col("norm")))
+    best = F.max_by(F.struct("rank", "row"), "rank").alias("best")
+    cold = marked.where("is_hot IS NULL").groupBy("digest", "norm").agg(best)
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
+    salted = marked.where("is_hot").withColumn("salt", salt).groupBy("digest", "salt", "norm").agg(best)
+    merged = salted.groupBy("digest", "norm").agg(F.max_by("best", "best.rank").alias("best"))
+    return cold.unionByName(merged).select("best.row.*")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlab.llm import subwords
-from recordlab.llm.common import small_batches
+from recordlab.llm.common import fresh, small_batches
 
 SAMPLE = 4_000
 MAX_LANGUAGES = 500
@@ -158,14 +158,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "langu
     if not model.languages:
         return docs.withColumn(out, none)
     body = F.col(text).cast("string")
-    found = docs.withColumn("__judged", judge(F.coalesce(body, F.lit(""))))
+    (judged,) = fresh([*docs.columns, out], "judged")
+    found = docs.withColumn(judged, judge(F.coalesce(body, F.lit(""))))
     known = F.struct(
-        F.col("__judged.lang").alias("lang"),
-        F.col("__judged.score").alias("score"),
-        (F.col("__judged.score") < model.threshold).alias("rejected"),
+        F.col(f"{judged}.lang").alias("lang"),
+        F.col(f"{judged}.score").alias("score"),
+        (F.col(f"{judged}.score") < model.threshold).alias("rejected"),
     )
     letter = F.coalesce(body.rlike(r"\p{L}"), F.lit(False))
-    return found.withColumn(out, F.when(letter, known).otherwise(none)).drop("__judged")
+    return found.withColumn(out, F.when(letter, known).otherwise(none)).drop(judged)
 
 
 def held_out(id: str = "doc_id") -> Column:

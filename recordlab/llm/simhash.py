@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlab.llm.common import small_batches, stored, whole_text
+from recordlab.llm.common import fresh, small_batches, stored, whole_text
 from recordlab.llm.components import components
 
 SEED = 42
@@ -243,5 +243,6 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", ra
     Rows that share an id stay or go together. Null ids stay where a group has no other.
     """
     groups = simhash_groups(docs, id, text, radius).where(F.col(id).eqNullSafe(F.col("component_id")))
-    first = groups.select(F.col(id).alias("__id")).distinct()
-    return docs.join(first, F.col(id).eqNullSafe(F.col("__id")), "left_semi")
+    (first,) = fresh(docs.columns, "first")
+    stays = groups.select(F.col(id).alias(first)).distinct()
+    return docs.join(stays, F.col(id).eqNullSafe(F.col(first)), "left_semi")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlab.llm.common import LOWER, UPPER, stored
+from recordlab.llm.common import LOWER, UPPER, fresh, named, stored
 
 PREFIX_DIGITS = 8
 #: more rules than this are joined by shuffle, never broadcast
@@ -71,7 +71,7 @@ def url_verdicts(
         raise ValueError("rules have more than 4096 different path lengths")
     names = ["host", "path", "rule", "verdict"]
     others = [c for c in pages.columns if c not in names]
-    own = pages.select(*others, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    own = pages.select(*named(others), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     places = own.select("host", "path").distinct()
     exprs = _expressions(places, sorted(head.sizes) or [0])
     exprs = exprs.withColumn("full", F.sha2("expr", 256)).withColumn("start", F.substring("full", 1, PREFIX_DIGITS))
@@ -85,12 +85,13 @@ def url_verdicts(
     hits = hits.where("full = digest")
     rank = F.struct(F.length("rule"), F.length("suffix"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), rank).alias("best"))
-    best = best.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "best")
-    found = own.join(best, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
+    h, p, won = fresh([*others, *names], "h", "p", "won")
+    best = best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("best").alias(won))
+    found = own.join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
     return found.select(
-        *others,
+        *named(others),
         "host",
         "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.action", F.lit(default)).alias("verdict"),
+        F.col(f"{won}.rule").alias("rule"),
+        F.coalesce(f"{won}.action", F.lit(default)).alias("verdict"),
     )

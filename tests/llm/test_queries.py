@@ -1,14 +1,14 @@
 """The registered queries: against DuckDB where SQL exists, and the pipeline against its parts."""
 
-import hashlib
-from collections import Counter, defaultdict
-
 import numpy as np
 import pytest
 
 import corpus_pipeline
+from recordlab.llm.common import stored
 from recordlab.llm.induced import permuted_prefixes, suffix_array
+from recordlab.llm.language import predict, train
 from recordlab.llm.queries import ORACLE, QUERIES
+from recordlab.llm.simhash import fingerprint
 from recordlab.registry.check import compare, duck_connection
 
 
@@ -23,35 +23,57 @@ def test_language_accuracy(spark, sf):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
 
 
+def expected_by_stage(rows, judged, leaks):
+    """Brute force over the rules of the first four stages: ids that each keeps."""
+    lower = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for i, t in rows}
+    kept = [i for i in lower if not judged[i]]
+    stages = [set(kept)]
+    last = {}
+    for i in kept:
+        last[lower[i]] = max(last.get(lower[i], i), i)
+    kept = sorted(last.values())
+    stages.append(set(kept))
+    bits = np.array([fingerprint(lower[i].encode()) & (2**64 - 1) for i in kept], dtype=np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None]) <= 2
+    group = np.arange(len(kept))
+    while (new := np.array([group[n].min() for n in near], dtype=int)).tolist() != group.tolist():
+        group = new
+    kept = [i for n, i in enumerate(kept) if group[n] == n]
+    stages.append(set(kept))
+    stages.append({i for i in kept if i not in leaks})
+    return stages
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf).collect()
-    lowered = {hashlib.sha256(r.text.lower().encode()).digest() for r in docs.collect()}
-    assert all(r.round_trip for r in out)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    judged = {r.doc_id: r.language.rejected for r in predict(docs, train(docs)).collect()}
     leaks = {r.doc_id for r in QUERIES["op9_spaced_seeds"](spark, sf).collect()}
-    assert not leaks & {r.doc_id for r in out}
-    assert len(out) <= len(lowered)
-    # what goes and is no leak has a near copy; what stays has none that any tree would show
-    near = _similarities({r.doc_id: r.text or "" for r in docs.collect()})
-    kept = {r.doc_id for r in out}
-    gone = {r.doc_id for r in docs.collect()} - kept - leaks
-    assert [d for d in gone if max(near.get(d, {}).values(), default=0) < 0.6] == []
-    assert not [(d, e) for d in kept for e, j in near.get(d, {}).items() if e in kept and j >= 0.9]
-
-
-def _similarities(texts):
-    """Jaccard similarity of five-word shingles, of all pairs that share one."""
-    words = {d: t.lower().split() for d, t in texts.items()}
-    runs = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
-    places, found = defaultdict(list), {}
-    for d, own in runs.items():
-        for run in own:
-            places[run].append(d)
-    for d, own in runs.items():
-        shared = Counter(e for run in own for e in places[run] if e != d)
-        if shared:
-            found[d] = {e: n / (len(own) + len(runs[e]) - n) for e, n in shared.items()}
-    return found
+    want = expected_by_stage(rows, judged, leaks)
+    now = docs
+    for (name, stage), ids in zip(corpus_pipeline.STAGES, want):
+        now = stored(stage(spark, now, sf), f"test-{name}")
+        assert now.columns == docs.columns
+        assert {r.doc_id for r in now.select("doc_id").collect()} == ids, name
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert all(r.round_trip for r in out) and {r.doc_id for r in out} == want[-1]
+    assert len(want[-1]) == len(out) < len(rows)
+
+
+def test_pipeline_on_odd_rows(spark, sf, tmp_path):
+    """No rows; then nulls, blanks, repeated rows and columns with the names used inside."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, found string, raw string, row string"
+    text = "A text of plain words that everyone can read without any trouble at all"
+    rows = [(1, None), (None, None), (2, ""), (3, text), (3, text), (4, text.upper()), (5, bench.first().text), (6, "\n \t")]
+    for name, kept in (("none", []), ("odd", [(4, text.upper())])):
+        folder = str(tmp_path / name)
+        table = [(i, t, "en", "s", 1, "f", "r", "w") for i, t in (rows if kept else [])]
+        spark.createDataFrame(table, schema).write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert [(r.doc_id, r.text) for r in out] == kept
+        assert all((r.found, r.raw, r.row, r.round_trip) == ("f", "r", "w", True) for r in out)
 
 
 def test_suffix_array_by_sorting():

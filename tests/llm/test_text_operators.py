@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from recordlab.llm import bpe, decontaminate, exact_dedup, language, length_histogram, quality
-from recordlab.llm import near_copies, sentence_spans, simhash, suffix_dedup, urls
+from recordlab.llm import sentence_spans, simhash, suffix_dedup, urls
 from recordlab.llm.components import components
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -288,57 +288,48 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
-def _edited(text, n, seed):
-    words, r = text.split(), random.Random(seed)
-    for at in r.sample(range(len(words)), n):
-        words[at] = f"edit{r.randrange(10**6)}"
-    return " ".join(words)
-
-
-def test_near_links_of_a_leaf_against_brute_force():
-    r = np.random.default_rng(5)
-    base = r.integers(0, 2**63, (40, 4), dtype=np.uint64)
-    flips = np.packbits(r.random((700, 256)) < 0.06, axis=1).view(np.uint64)
-    sketch = base[np.minimum(r.integers(0, 80, 700), 39)] ^ flips
-    part = np.where(r.random(700) < 0.6, 7, 7 ^ (1 << r.integers(0, 20, 700))).astype(np.int32)
-    blocks = near_copies._blocks(4)
-    level = {int(bit): k + 1 for k, block in enumerate(blocks) for bit in block}
-    mover = np.array([0 if p == 7 else level[int(p ^ 7).bit_length() - 1] for p in part], dtype=np.int32)
-    for crowd in (16, 10_000):  # step by step, and pair by pair
-        old, near_copies.CROWD = near_copies.CROWD, crowd
-        try:
-            links = near_copies.leaf_links(part, mover, sketch, 4, 47)
-        finally:
-            near_copies.CROWD = old
-        got, want = near_copies.Forest(700), near_copies.Forest(700)
-        for a, b in links:
-            assert np.bitwise_count(sketch[a] ^ sketch[b]).sum() <= 47
-            got.join(np.array([a]), np.array([b]), np.array([0]))
-        near = np.bitwise_count(sketch[:, None] ^ sketch[None]).sum(axis=2) <= 47
-        i, j = np.nonzero(near & (mover == 0)[:, None])  # two visitors are not compared here
-        want.join(i, j, np.zeros(len(i)))
-        assert (got.roots(np.arange(700)) == want.roots(np.arange(700))).all()
-
-
-def test_near_groups(spark, odd, none):
-    rows = []
-    for k in range(40):
-        text = prose(1000 + k, 200)
-        rows += [(10 * k, text, "en"), (10 * k + 1, _edited(text, 2, k), "en"), (10 * k + 2, _edited(text, 3, -k - 1), "en")]
-    crowd = prose(77, 300)
-    rows += [(1000 + k, _edited(crowd, 2, k), "en") for k in range(600)]
-    docs = frame(spark, rows)
-    got = {r.doc_id: r.component_id for r in near_copies.near_groups(docs).collect()}
-    want = {i: i - i % 10 if i < 1000 else 1000 for i, _, _ in rows}
-    assert got == want
-    kept = near_copies.drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
-    # nulls, blanks, long texts, repeated rows and null ids
-    found = near_copies.near_groups(odd).collect()
-    assert len(found) == odd.count()
-    by = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
-    assert by == {1: 1, 2: 1, 6: 1, 3: 3, 4: 4, 5: 4, 7: 7}
-    assert sorted(str(r.component_id) for r in found if r.doc_id is None) == ["1", "3"]
-    assert near_copies.near_groups(none).count() == 0
-    assert near_copies.drop_near_copies(none).count() == 0
+#: names that operators use inside, all on one table
+INSIDE = ["own", "met", "found", "judged", "h", "p", "won", "first", "owner", "key", "body", "words", "norm", "short", "digest"]
+INSIDE += ["is_hot", "salt", "best", "row", "rank", "fp", "n", "host", "path", "ids", "__own", "__key", "__id", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    texts = [None, "", "Plain words that stand here", "plain words THAT stand here", "other " * 40_000, "other " * 40_000]
+    schema = "doc_id bigint, text string, lang string, url string, " + ", ".join(f"`{c}` string" for c in INSIDE)
+    return spark.createDataFrame([(i, t, "en", "http://a.com/x", *INSIDE) for i, t in enumerate(texts)], schema).cache()
+
+
+def _carried(df, but=()):
+    """Every row still has the value that each extra column began with."""
+    rows = df.collect()
+    assert rows and all(r[c] == c for r in rows for c in INSIDE if c not in but)
+    return rows
+
+
+def test_clashing_names(spark, clashing):
+    coded = bpe.decode(bpe.encode(clashing, RANKS, PATTERN), RANKS, PATTERN, out="raw")
+    assert len(_carried(coded, ("ids",))) == 6
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, action string")
+    assert {r.verdict for r in _carried(urls.url_verdicts(clashing, rules), ("host", "path"))} == {"block"}
+    model = language.train(clashing)
+    assert len(_carried(language.predict(clashing, model))) == 6
+    assert {r.doc_id for r in _carried(exact_dedup.drop_copies(clashing))} == {1, 3, 5}
+    assert {r.doc_id for r in _carried(simhash.drop_near_copies(clashing))} == {0, 2, 4}
+    bench = spark.createDataFrame([(1, "plain words that stand here")], "item_id bigint, text string")
+    assert {r.doc_id for r in _carried(decontaminate.drop_contaminated(clashing, bench))} == {0, 1, 4, 5}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_copies_of_whole_rows(spark, hot, monkeypatch):
+    """Also where every digest is hot and takes the way over salts."""
+    monkeypatch.setattr(exact_dedup, "HOT", 10_000 if hot else 1)
+    rows = [(i, "one text" if i % 3 else f"Text {i % 5}", str(i)) for i in range(400)]
+    rows += [(None, "one text", "x"), (None, "null id only", "y"), (None, "null id only", "z"), (7, "Twice", "p"), (7, "twice", "q")]
+    docs = frame(spark, rows).repartition(5)
+    got = exact_dedup.drop_copies(docs, salts=3).collect()
+    want = {}
+    for i, t, _ in rows:
+        want[t.lower()] = max(want.get(t.lower(), -1), -1 if i is None else i)
+    assert sorted((r.text.lower(), -1 if r.doc_id is None else r.doc_id) for r in got) == sorted(want.items())
+    assert all((r.doc_id, r.text, r.lang) in rows for r in got)
