@@ -138,7 +138,8 @@ WINDOW g AS (PARTITION BY norm)"""
 
 def op11_elias_fano_lm(spark, sf):
     tenth = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    return score_documents(load(spark, sf, "documents").select("doc_id", "text"), tenth)
+    # with trigrams the rows sent to shards take 13 bytes a token, more than the disk allows
+    return score_documents(load(spark, sf, "documents").select("doc_id", "text"), tenth, order=2)
 
 
 def op12_chebyshev_whitening(spark, sf):
