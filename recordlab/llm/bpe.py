@@ -45,22 +45,32 @@ def vocabulary(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((content, pattern))
 
 
-def _coder(shared):
-    """Encoder, compiled pattern and byte strings by id; built once in each Python worker."""
-    content, pattern = shared.value
-    key = hash((content, pattern))
+def _kept(shared, what: str, build):
+    """What a worker needs of the vocabulary, built once; decoding needs no encoder."""
+    key = hash(shared.value), what
     if key not in _CODERS:
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
-        words = [b""] * (max(ranks.values()) + 1)
-        for word, rank in ranks.items():
-            words[rank] = word
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _CODERS[key] = encoding, regex.compile(pattern), pa.array(words, pa.large_binary())
+        _CODERS[key] = build(*shared.value)
     return _CODERS[key]
 
 
+def _ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+
+
+def _encoding(content: bytes, pattern: str):
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(content), special_tokens={})
+
+
+def _words(content: bytes, pattern: str) -> pa.Array:
+    ranks = _ranks(content)
+    words = [b""] * (max(ranks.values()) + 1)
+    for word, rank in ranks.items():
+        words[rank] = word
+    return pa.array(words, pa.large_binary())
+
+
 def _lists(ids: list[list[int]]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, ids)])
     flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(ends[-1]))
@@ -70,7 +80,7 @@ def _lists(ids: list[list[int]]) -> pa.ListArray:
 def _encoder(shared):
     @F.arrow_udf("array<int>")
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoding = _coder(shared)[0]
+        encoding = _kept(shared, "encoding", _encoding)
         for texts in batches:
             yield _lists([encoding.encode_ordinary(t) for t in texts.to_pylist()])
 
@@ -80,7 +90,7 @@ def _encoder(shared):
 def _decoder(shared):
     @F.arrow_udf("binary")
     def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = _coder(shared)[2]
+        words = _kept(shared, "words", _words)
         for ids in batches:
             ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
             out = []
@@ -110,7 +120,7 @@ def _starts(shared, chunk: int, overlap: int):
     """Safe pre-token starts in the first ``overlap`` characters, and in those after ``chunk``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, space = _coder(shared)[1], regex.compile(r"\s").match
+        pattern, space = regex.compile(shared.value[1]), regex.compile(r"\s").match
         for batch in batches:
             keys, ns, parts = (c.to_pylist() for c in batch.columns)
             heads, tails = [], []

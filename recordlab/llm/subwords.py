@@ -13,7 +13,7 @@ import numpy as np
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 WORDS = np.full(256, 32, dtype=np.uint8)
 WORDS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
