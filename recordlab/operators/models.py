@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
-import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -13,27 +13,26 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
-    RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordlab.operators import dense
 from recordlab.operators import metrics as M
-from recordlab.operators.reduce import Projection, fit_standardiser, row_count_and_width
+from recordlab.operators.dense import fit_perceptron
+from recordlab.operators.fitted import KernelMap
+from recordlab.operators.reduce import fit_standardiser, row_count_and_width
 from recordlab.operators.splits import add_weights
+from recordlab.operators.trees import fit_boosting, fit_forest
 
 SEED = 42
 SCORING = "f1_macro"
 SCORINGS = {"f1_macro": "f1_macro", "f1_weighted": "f1_weighted", "accuracy": "accuracy"}
-FOURIER_FEATURES = 256
-WEIGHTED, OVERSAMPLED = "weight", "oversample"
+LANDMARKS = 512
 
 
 @dataclass(frozen=True)
@@ -52,19 +51,8 @@ class Algorithm:
     fit: Callable[[DataFrame, Mapping, Shape, str], list[Transformer]]
     grid: Mapping[str, Sequence] | None
     needs_scaling: bool
-    balance: str
-    scores: Callable[[], Column]
-
-
-def _probability() -> Column:
-    return vector_to_array("probability")
-
-
-def _vote_share() -> Column:
-    """Class shares from one-vs-rest boosting margins (a margin m has probability 1/(1+e^-2m))."""
-    each = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(F.array(total), lambda t: F.transform(each, lambda x: x / t))[0]
+    #: scores of all configurations on all folds in shared passes, where the family has such a way
+    score_all: Callable[..., list[tuple[int, int, float]]] | None = None
 
 
 def _columns(estimator: Estimator, features: str, weighted: bool = True) -> Estimator:
@@ -72,34 +60,16 @@ def _columns(estimator: Estimator, features: str, weighted: bool = True) -> Esti
     return estimator.setWeightCol("weight") if weighted else estimator
 
 
-#: the deepest tree Spark builds
-MAX_DEPTH = 30
-
-
 def _fit_rf(seed: int):
     def fit(train: DataFrame, params: Mapping, shape: Shape, features: str) -> list[Transformer]:
-        if params.get("depth", MAX_DEPTH) > MAX_DEPTH:
-            raise ValueError(f"a forest can't be deeper than {MAX_DEPTH}")
-        forest = RandomForestClassifier(
-            numTrees=params.get("trees", 100),
-            maxDepth=params.get("depth", MAX_DEPTH),
-            # a node below 2m rows cannot be split into two children of m rows
-            minInstancesPerNode=math.ceil(params.get("min_split", 2) / 2),
-            seed=seed,
-        )
-        return [_columns(forest, features).fit(train)]
+        return [fit_forest(train, features, shape.classes, seed=seed, **params)]
 
     return fit
 
 
 def _fit_mlp(seed: int):
     def fit(train: DataFrame, params: Mapping, shape: Shape, features: str) -> list[Transformer]:
-        net = MultilayerPerceptronClassifier(
-            layers=[shape.width, *params.get("hidden", (100,)), shape.classes],
-            maxIter=params.get("iterations", 200),
-            seed=seed,
-        )
-        return [_columns(net, features, weighted=False).fit(train)]
+        return [fit_perceptron(train, features, shape.width, shape.classes, seed=seed, **params)]
 
     return fit
 
@@ -121,17 +91,7 @@ def _fit_lr(seed: int):
 
 def _fit_gbt(seed: int):
     def fit(train: DataFrame, params: Mapping, shape: Shape, features: str) -> list[Transformer]:
-        trees = GBTClassifier(
-            maxIter=params.get("trees", 100),
-            maxDepth=params.get("depth", 6),
-            stepSize=params.get("rate", 0.3),
-            subsamplingRate=params.get("subsample", 1.0),
-            featureSubsetStrategy=str(params.get("columns", "all")),
-            minInstancesPerNode=params.get("min_rows", 1),
-            seed=seed,
-        )
-        each = _columns(OneVsRest(classifier=trees, parallelism=shape.classes), features)
-        return [each.fit(train)]
+        return [fit_boosting(train, features, shape.classes, seed=seed, **params)]
 
     return fit
 
@@ -141,17 +101,14 @@ def _fit_svm(seed: int):
         # after standardising, the usual 1 / (width · variance) is 1 / width
         gamma = params.get("gamma", "scale")
         gamma = 1.0 / shape.width if gamma == "scale" else float(gamma)
-        size = params.get("fourier", FOURIER_FEATURES)
-        rng = np.random.default_rng(seed)
-        waves = rng.normal(scale=math.sqrt(2 * gamma), size=(shape.width, size))
-        phases = rng.uniform(0, 2 * math.pi, size=size)
-        lift = Projection(
-            inputCol=features, outputCol="fourier", matrix=waves.tolist(), offset=phases.tolist(), kind="cosine"
-        )
+        # landmarks: the distinct rows whose hashes are smallest; all of them if they are few enough
+        rows = train.select(vector_to_array(features).alias("x")).distinct()
+        drawn = rows.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(params.get("landmarks", LANDMARKS)).collect()
+        lift = KernelMap.of(np.array([r["x"] for r in drawn]).reshape(-1, shape.width), gamma, features, "lifted")
         lifted = lift.transform(train).persist()
         svc = LinearSVC(regParam=1.0 / (params.get("C", 1.0) * shape.rows), maxIter=params.get("iterations", 100))
         margins = _columns(
-            OneVsRest(classifier=svc, parallelism=shape.classes, predictionCol="svc_prediction"), "fourier"
+            OneVsRest(classifier=svc, parallelism=shape.classes, predictionCol="svc_prediction"), "lifted"
         ).fit(lifted)
         # Platt scaling of the margins
         platt = _columns(
@@ -164,12 +121,14 @@ def _fit_svm(seed: int):
 
 
 def algorithms(seed: int = SEED, grid: bool = True) -> dict[str, Algorithm]:
-    """The families by name. Grid values are fixed; those Spark cannot express are left out:
-    forest depth ends at 30, the perceptron has an iteration limit in place of penalty and rate,
-    boosting has no L1 term."""
+    """The families by name. Grid values are fixed."""
     grids = {
-        "RF": {"trees": [100, 200, 300], "depth": [3, 5, 10, 20, 30], "min_split": [2, 3, 5, 8]},
-        "MLP": {"hidden": [(100, 50), (128, 64), (256, 128)], "iterations": [100, 200, 500]},
+        "RF": {"trees": [100, 200, 300], "depth": [3, 5, 10, 20, 30, 50], "min_split": [2, 3, 5, 8]},
+        "MLP": {
+            "hidden": [(100, 50), (128, 64), (256, 128)],
+            "penalty": [1e-4, 1e-3, 1e-2],
+            "step": [0.001, 0.01],
+        },
         "LR": {"C": [0.01, 0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
         "GBT": {
             "trees": [300, 500],
@@ -177,18 +136,19 @@ def algorithms(seed: int = SEED, grid: bool = True) -> dict[str, Algorithm]:
             "rate": [0.05, 0.1],
             "subsample": [0.8],
             "columns": [0.7, 0.9],
-            "min_rows": [1, 5],
+            "min_weight": [1, 5],
+            "l1": [0, 0.1],
         },
         "SVM": {"C": [0.1, 1.0, 10.0], "gamma": ["scale", 0.01, 0.1]},
     }
     if not grid:
         grids = dict.fromkeys(grids)
     return {
-        "RF": Algorithm(_fit_rf(seed), grids["RF"], False, WEIGHTED, _probability),
-        "MLP": Algorithm(_fit_mlp(seed), grids["MLP"], True, OVERSAMPLED, _probability),
-        "LR": Algorithm(_fit_lr(seed), grids["LR"], True, WEIGHTED, _probability),
-        "GBT": Algorithm(_fit_gbt(seed), grids["GBT"], False, WEIGHTED, _vote_share),
-        "SVM": Algorithm(_fit_svm(seed), grids["SVM"], True, WEIGHTED, _probability),
+        "RF": Algorithm(_fit_rf(seed), grids["RF"], False),
+        "MLP": Algorithm(_fit_mlp(seed), grids["MLP"], True),
+        "LR": Algorithm(_fit_lr(seed), grids["LR"], True, score_regressions),
+        "GBT": Algorithm(_fit_gbt(seed), grids["GBT"], False),
+        "SVM": Algorithm(_fit_svm(seed), grids["SVM"], True),
     }
 
 
@@ -203,44 +163,6 @@ def config_name(params: Mapping) -> str:
     return json.dumps(params, sort_keys=True, default=list)
 
 
-def oversample(df: DataFrame, label: str = "label") -> DataFrame:
-    """Repeat rows until every class has as many as the largest one, exactly.
-
-    A class of n rows takes each row ``largest // n`` times and the first ``largest % n`` rows,
-    in the order of a hash, once more. Equal rows are counted before they are ordered, and the
-    order is cut into buckets, so neither a hot class nor a hot row stands in one task. A null
-    label is a class of its own.
-    """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if len(set(counts.values())) < 2:
-        return df
-    largest = max(counts.values())
-    rows = df.groupBy(*df.columns).agg(F.count("*").alias("__n")).withColumn("__h", F.xxhash64(*df.columns))
-    rows = rows.withColumn("__b", F.shiftright("__h", 52))
-    buckets = rows.groupBy(label, "__b").agg(F.sum("__n").alias("__s"))
-    before = W.partitionBy(label).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    # 4096 buckets per class
-    starts = buckets.select(
-        F.col(label).alias("__l"), F.col("__b").alias("__k"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o")
-    )
-    same = F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__k"))
-    inside = W.partitionBy(label, "__b").orderBy("__h").rowsBetween(W.unboundedPreceding, -1)
-    first = F.coalesce(F.sum("__n").over(inside), F.lit(0)) + F.col("__o")
-    placed = rows.join(F.broadcast(starts), same).withColumn("__first", first)
-    whole, more = F.lit(1), F.lit(0)
-    for value, n in counts.items():
-        own = F.col(label).eqNullSafe(F.lit(value))
-        whole = F.when(own, F.lit(largest // n)).otherwise(whole)
-        more = F.when(own, F.lit(largest % n)).otherwise(more)
-    extra = F.greatest(F.lit(0), F.least(F.col("__n"), more - F.col("__first")))
-    # copies are exploded in two steps: no array is longer than a million
-    times = placed.withColumn("__t", F.col("__n") * whole + extra)
-    step = 1_000_000
-    parts = times.withColumn("__p", F.explode(F.sequence(F.lit(0), F.floor((F.col("__t") - 1) / step))))
-    left = F.least(F.lit(step), F.col("__t") - F.col("__p") * step).cast("int")
-    return parts.withColumn("__c", F.explode(F.sequence(F.lit(1), left))).select(*df.columns)
-
-
 def label_index(classes: Sequence[int], label: str = "label") -> Column:
     return (F.array_position(F.lit(list(classes)), F.col(label)) - 1).cast("double")
 
@@ -260,13 +182,9 @@ def fit_classifier(
         used = f"{features}_std"
         stages += fit_standardiser(train, features, used)
     ready = PipelineModel(stages).transform(train) if stages else train
-    ready = ready.withColumn("label_index", label_index(classes))
-    if algorithm.balance == OVERSAMPLED:
-        ready = oversample(ready)
-    else:
-        ready = add_weights(ready)
+    ready = add_weights(ready.withColumn("label_index", label_index(classes)))
     shape = Shape(rows, width, len(classes))
-    stages += algorithm.fit(ready.select(used, "label_index", *(["weight"] if "weight" in ready.columns else [])), params, shape, used)
+    stages += algorithm.fit(ready.select(used, "label_index", "weight"), params, shape, used)
     return PipelineModel(stages)
 
 
@@ -276,12 +194,41 @@ def predict(
     """``keep…, label, pred, scores`` with scores in the order of ``classes``."""
     scored = model.transform(df)
     pred = F.lit(list(classes))[F.col("prediction").cast("int")]
-    return scored.select(*keep, "label", pred.alias("pred"), algorithm.scores().alias("scores"))
+    return scored.select(*keep, "label", pred.alias("pred"), vector_to_array("probability").alias("scores"))
 
 
 Folds = Sequence[tuple[DataFrame, DataFrame]]
 
 
+def score_regressions(
+    configs: Sequence[Mapping], folds: Folds, classes: Sequence[int], features: str, scoring: str
+) -> list[tuple[int, int, float]]:
+    """``configuration, fold, score`` of logistic regressions: all fits of all folds take their steps
+    in the same passes over the rows. Folds of different width are filled up with zeros, which
+    the fit ignores."""
+    scaled = []
+    for train, val in folds:
+        stages = PipelineModel(fit_standardiser(train, features, f"{features}_std"))
+        width = row_count_and_width(train, features)[1]
+        scaled.append((width, *(stages.transform(x).withColumn("label_index", label_index(classes)) for x in (train, val))))
+    most = max(width for width, _, _ in scaled)
+
+    def joined(side: int) -> DataFrame:
+        parts = []
+        for i, fold in enumerate(scaled):
+            rows = add_weights(fold[side]) if side == 1 else fold[side].withColumn("weight", F.lit(1.0))
+            filled = F.concat(vector_to_array(f"{features}_std"), F.array_repeat(F.lit(0.0), most - fold[0]))
+            parts.append(rows.select(array_to_vector(filled).alias("x"), "label_index", "weight", F.lit(i).alias("fold")))
+        return dense.to_blocks(functools.reduce(DataFrame.unionByName, parts), "x", "label_index", "weight", "fold")
+
+    found, _ = dense.fit_regressions(joined(1), most, len(classes), configs, range(len(folds)))
+    rows = dense.regression_predictions(joined(2), found, most, len(classes))
+    of = F.lit(list(classes))
+    pred = rows.select(F.col("part").alias("fold"), "config", of[F.col("y")].alias("label"), of[F.col("k")].alias("pred"))
+    scores = M.summary(pred, ["config", "fold"]).select("config", "fold", SCORINGS[scoring]).collect()
+    return sorted((r["config"], r["fold"], r[SCORINGS[scoring]]) for r in scores)
+
+
 def fold_predictions(
     algorithm: Algorithm,
     params: Mapping,
@@ -339,7 +286,8 @@ def select_config(
 ) -> tuple[dict, float | None, DataFrame]:
     """Best configuration by mean over folds, its score, and the ranking of all.
 
-    Configurations are independent sets of Spark jobs; ``parallelism`` runs several at a time.
+    A family that can scores all configurations in shared passes; else they are independent sets
+    of Spark jobs, of which ``parallelism`` run at a time.
     Without a grid nothing is compared and the ranking holds one row without a score.
     """
     schema = "config STRING, fold INT, score DOUBLE"
@@ -349,15 +297,15 @@ def select_config(
             "config", F.col("score").alias("mean"), F.col("score").alias("std"), F.lit(1).alias("rank")
         )
     configs = grid_configs(algorithm.grid)
-    with ThreadPoolExecutor(max(parallelism, 1)) as pool:
-        found = list(
-            pool.map(lambda p: score_config(algorithm, p, folds, classes, features, scoring), configs)
-        )
-    rows = [
-        (config_name(p), int(fold), float(score))
-        for p, scores in zip(configs, found)
-        for fold, score in scores
-    ]
+    if algorithm.score_all:
+        if scoring not in SCORINGS:
+            raise ValueError(f"scoring must be one of {sorted(SCORINGS)}")
+        found = algorithm.score_all(configs, folds, classes, features, scoring)
+        rows = [(config_name(configs[c]), int(fold), float(score)) for c, fold, score in found]
+    else:
+        with ThreadPoolExecutor(max(parallelism, 1)) as pool:
+            each = pool.map(lambda p: score_config(algorithm, p, folds, classes, features, scoring), configs)
+            rows = [(config_name(p), int(f), float(s)) for p, scores in zip(configs, each) for f, s in scores]
     ranking = M.config_rank(spark.createDataFrame(rows, schema))
     best = ranking.where(F.col("rank") == 1).first()
     params = next(p for p in configs if config_name(p) == best["config"])

@@ -405,7 +405,7 @@ for _name in SMALL:
 
 def _grid_of(name, **grid):
     base = models.algorithms(grid=False)[name]
-    return models.Algorithm(base.fit, grid, base.needs_scaling, base.balance, base.scores)
+    return models.Algorithm(base.fit, grid, base.needs_scaling, base.score_all)
 
 
 @register("grid_select")

@@ -1,19 +1,21 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from recordlab.operators import models, reduce, vectors
+from recordlab.operators.fitted import KernelMap, kernel
 from recordlab.plans.study import fold_pairs, reduced_pair, run_study
 
 CLASSES = [2, 5, 9]
 SMALL = {
     "RF": {"trees": 5, "depth": 3},
-    "MLP": {"hidden": (6,), "iterations": 40},
+    "MLP": {"hidden": (16,), "step": 0.02, "epochs": 30},
     "LR": {"C": 1.0, "iterations": 40},
     "GBT": {"trees": 3, "depth": 2},
-    "SVM": {"C": 1.0, "iterations": 15, "fourier": 48},
+    "SVM": {"C": 1.0, "iterations": 15, "landmarks": 48},
 }
 
 
@@ -109,13 +111,13 @@ def test_family_learns_and_survives_saving(spark, df, tmp_path, name):
 
 def test_grid_sizes():
     sizes = {n: len(models.grid_configs(a.grid)) for n, a in models.algorithms().items()}
-    assert sizes == {"RF": 60, "MLP": 9, "LR": 8, "GBT": 32, "SVM": 9}
+    assert sizes == {"RF": 72, "MLP": 18, "LR": 8, "GBT": 64, "SVM": 9}
     assert models.grid_configs(None) == [{}]
 
 
 def test_selection(spark, df):
     base = models.algorithms(grid=False)["LR"]
-    small = models.Algorithm(base.fit, {"C": [1e-6, 1.0], "iterations": [30]}, True, "weight", base.scores)
+    small = models.Algorithm(base.fit, {"C": [1e-6, 1.0], "iterations": [30]}, True)
     pairs = fold_pairs(df.withColumn("fold", F.col("rec_id") % 2), 2, "none")
     params, score, ranking = models.select_config(spark, small, pairs, CLASSES, parallelism=2)
     assert params["C"] == 1.0 and ranking.count() == 2
@@ -125,9 +127,64 @@ def test_selection(spark, df):
         models.score_config(small, params, pairs, CLASSES, scoring="other")
 
 
+def test_shared_selection_equals_single_fits(spark, df):
+    """All configurations in shared passes rank as separate fits of the library do, also where folds
+    differ in width."""
+    base = models.algorithms(grid=False)["LR"]
+    grid = {"C": [0.01, 1.0], "penalty": ["l1", "l2"], "iterations": [2000]}
+    pairs = fold_pairs(df.withColumn("fold", F.col("rec_id") % 2), 2, "none")
+    train, val = pairs[1]
+    narrow = lambda x: x.withColumn("features", array_to_vector(F.slice(vector_to_array("features"), 1, 4)))
+    pairs = [pairs[0], (narrow(train), narrow(val))]
+    shared = models.score_regressions(models.grid_configs(grid), pairs, CLASSES, "features", "accuracy")
+    single = [
+        (c, fold, score)
+        for c, params in enumerate(models.grid_configs(grid))
+        for fold, score in models.score_config(base, params, pairs, CLASSES, scoring="accuracy")
+    ]
+    assert [x[:2] for x in shared] == [x[:2] for x in single]
+    assert np.abs(np.array([x[2] for x in shared]) - [x[2] for x in single]).max() < 0.02
+    whole = models.Algorithm(base.fit, grid, True, base.score_all)
+    params, score, ranking = models.select_config(spark, whole, pairs, CLASSES, scoring="accuracy")
+    means = {c: np.mean([x[2] for x in shared if x[0] == c]) for c in range(4)}
+    assert score == pytest.approx(max(means.values())) and ranking.count() == 4
+
+
+def _dual(k, y, most, rounds=3000):
+    """Support vector machine by pairs of multipliers: margins on the rows."""
+    r, a, n = np.random.default_rng(0), np.zeros(len(y)), len(y)
+    for _ in range(rounds * 10):
+        i, j = r.choice(n, 2, replace=False)
+        e = (a * y) @ k - y
+        curve = k[i, i] + k[j, j] - 2 * k[i, j]
+        low, high = (max(0, a[j] - a[i]), min(most, most + a[j] - a[i])) if y[i] != y[j] else (max(0, a[i] + a[j] - most), min(most, a[i] + a[j]))
+        new = np.clip(a[j] + y[j] * (e[i] - e[j]) / max(curve, 1e-12), low, high)
+        a[i] += y[i] * y[j] * (a[j] - new)
+        a[j] = new
+    f = (a * y) @ k
+    inside = (a > 1e-6 * most) & (a < most * (1 - 1e-6))
+    return f + np.mean((y - f)[inside])
+
+
+def test_kernel_machine_equals_the_dual(spark):
+    """With every row a landmark the primal fit has the margins of an exact dual solver."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 3))
+    y = np.where((x**2).sum(axis=1) + r.normal(size=60) / 2 > 2.5, 1.0, -1.0)
+    rows = spark.createDataFrame([(Vectors.dense(a), float(b > 0)) for a, b in zip(x, y)], ["features", "label"])
+    lift = KernelMap.of(x, 0.4, "features", "lifted")
+    lifted = lift.transform(rows).persist()
+    phi = np.array(lifted.select(vector_to_array("lifted")).toArrow().column(0).to_pylist())
+    k = kernel(x, x, 0.4)
+    assert np.abs(phi @ phi.T - k).max() < 1e-8
+    svc = LinearSVC(featuresCol="lifted", regParam=1 / 60, maxIter=150, tol=1e-9, standardization=False).fit(lifted)
+    margins = phi @ svc.coefficients.toArray() + svc.intercept
+    assert np.abs(margins - _dual(k, y, 1.0)).max() < 0.15
+
+
 def test_study_saves_usable_bundles(spark, df, tmp_path):
     base = models.algorithms(grid=False)["LR"]
-    algorithms = {"LR": models.Algorithm(base.fit, {"C": [1.0], "iterations": [30]}, True, "weight", base.scores)}
+    algorithms = {"LR": models.Algorithm(base.fit, {"C": [1.0], "iterations": [30]}, True)}
     tables = run_study(df, extra=["lab"], n_components=3, k=2, algorithms=algorithms, n_bootstrap=15, out=str(tmp_path))
     assert tables["holdout"].count() == 2 and tables["intervals"].count() == 14
     assert tables["best"].first()["algorithm"] == "LR"
@@ -179,29 +236,6 @@ def test_corpus_vectors_load_or_train(spark, tmp_path):
     assert np.linalg.norm(first[0]["vector"]) == pytest.approx(1, abs=1e-6)
 
 
-def test_a_deeper_forest_than_possible_is_an_error(spark):
-    from recordlab.operators.models import _fit_rf
-
-    with pytest.raises(ValueError, match="deeper"):
-        _fit_rf(1)(None, {"depth": 31}, None, "features")
-
-
-def test_oversampling_is_exact(spark):
-    rows = [(0, float(i)) for i in range(140)] + [(1, float(i)) for i in range(60)] + [(1, 1.5)] * 40 + [(2, 7.0)]
-    df = spark.createDataFrame(rows, "label INT, x DOUBLE").repartition(5)
-    out = models.oversample(df)
-    assert out.columns == ["label", "x"]
-    counts = {(r["label"], r["x"]): r["n"] for r in out.groupBy("label", "x").agg(F.count("*").alias("n")).collect()}
-    sizes = {}
-    for (label, _), n in counts.items():
-        sizes[label] = sizes.get(label, 0) + n
-    assert sizes == {0: 140, 1: 140, 2: 140}
-    assert all(counts[(1, float(i))] in (1, 2) for i in range(60)) and 40 <= counts[(1, 1.5)] <= 80
-    again = {(r["label"], r["x"]): r["n"] for r in models.oversample(df.repartition(2)).groupBy("label", "x").agg(F.count("*").alias("n")).collect()}
-    assert again == counts
-    assert models.oversample(df.where("label = 0")).count() == 140
-
-
 def test_vocabulary_is_counted_first(spark):
     df = spark.createDataFrame([("a b c a b c",)], "text STRING")
     with pytest.raises(ValueError, match="3 words"):
