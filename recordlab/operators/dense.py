@@ -25,6 +25,7 @@ from recordlab.operators.fitted import SharesModel, dumped, loaded
 from recordlab.session import scratch_path
 
 BLOCK_ROWS = 8192
+BLOCK_BYTES = 16 << 20
 COLUMNS = 64
 #: an epoch of the perceptron has at most this many steps, so batches grow with the table
 STEPS = 20
@@ -55,11 +56,12 @@ def to_blocks(df: DataFrame, features: str, label: str, weight: str, part: str |
             if not batch.num_rows:
                 continue
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            step = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(x.shape[1], 1))))
             y, w, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             for p in np.unique(parts).tolist():
                 mine = np.flatnonzero(parts == p)
-                for at in range(0, len(mine), BLOCK_ROWS):
-                    rows = mine[at : at + BLOCK_ROWS]
+                for at in range(0, len(mine), step):
+                    rows = mine[at : at + step]
                     cells = [x[rows].tobytes(), y[rows].astype(np.int32).tobytes(), w[rows].astype(np.float64).tobytes()]
                     columns = [pa.array([v], k) for v, k in zip((p, task << 32 | number, len(rows)), (pa.int32(), pa.int64(), pa.int32()))]
                     columns += [pa.array([c], pa.binary()) for c in cells]

@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordlab.operators.krylov import leading_axes
+
 N_COMPONENTS = 64
 VARIANCE = 0.95
 METHODS = ("scaled_pca", "pca", "auto", "lda", "none")
+#: widest discriminants, and widest components from a matrix on the driver
 MAX_WIDTH = 8192
+NARROW = 2048
 
 
 class Projection(
@@ -135,14 +139,19 @@ def fit_reducer(
     features: str = "features",
     label: str = "label",
     out: str = "reduced",
+    narrow: int = NARROW,
 ) -> PipelineModel:
-    """A fitted reducer from training rows; apply it to any rows with ``transform``."""
+    """A fitted reducer from training rows; apply it to any rows with ``transform``.
+
+    Principal components of more than ``narrow`` columns come from passes over the rows instead of
+    a d×d matrix, whatever the width.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     n, d = row_count_and_width(train, features)
     if method == "none":
         return PipelineModel([VectorAssembler(inputCols=[features], outputCol=out)])
-    if d > MAX_WIDTH:
+    if method == "lda" and d > MAX_WIDTH:
         raise ValueError(f"vectors of width {d}: {method} keeps a d×d matrix on the driver")
     scaled = f"{out}_scaled"
     stages = fit_standardiser(train, features, scaled, with_std=method != "pca")
@@ -153,6 +162,14 @@ def fit_reducer(
             inputCol=scaled, outputCol=out, matrix=matrix.tolist(), offset=offset.tolist(), ratios=ratios.tolist()
         )
         return PipelineModel([*stages, last])
+    if d > narrow:
+        axes, ratios = leading_axes(ready, scaled, d, min(n_components, d, n))
+        if method == "auto":
+            k = auto_components(ratios, variance, len(ratios))
+            axes, ratios = axes[:, :k], ratios[:k]
+        offset = [0.0] * axes.shape[1]
+        last = Projection(inputCol=scaled, outputCol=out, matrix=axes.tolist(), offset=offset, ratios=ratios.tolist())
+        return PipelineModel([*stages, last])
     if method == "auto":
         full = PCA(k=min(d, n), inputCol=scaled, outputCol=f"{out}_full").fit(ready)
         k = auto_components(full.explainedVariance.toArray(), variance, min(n_components, d, n))

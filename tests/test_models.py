@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordlab.operators import models, reduce, vectors
 from recordlab.operators.fitted import KernelMap, kernel
+from recordlab.operators.krylov import krylov
 from recordlab.plans.study import fold_pairs, reduced_pair, run_study
 
 CLASSES = [2, 5, 9]
@@ -80,6 +81,38 @@ def test_lda_separates_and_whitens(df, matrix):
     assert abs(between[0, 1]) < 1e-6 and between[0, 0] > between[1, 1]
 
 
+@pytest.mark.parametrize("values", [np.geomspace(1, 1e-6, 80), np.r_[5, 5, 5, np.linspace(2, 1, 77)], np.r_[np.ones(4), np.zeros(76)], np.ones(80)])
+def test_krylov_axes(values):
+    turn = np.linalg.qr(np.random.default_rng(1).normal(size=(80, 80)))[0]
+    matrix = (turn * values) @ turn.T
+    for space in (1 << 30, 16 * 80 * 40):  # also with restarts
+        got, axes, _ = krylov(lambda q: matrix @ q, 80, 6, space=space)
+        assert np.abs(got - np.sort(values)[::-1][:6]).max() < 1e-7 * values.max()
+        assert np.abs(matrix @ axes - axes * got).max() < 1e-6 and np.abs(axes.T @ axes - np.eye(6)).max() < 1e-9
+
+
+def test_components_without_a_square_matrix(df, matrix):
+    x, _ = matrix
+    for method in ("pca", "scaled_pca", "auto"):
+        a, b = (reduce.fit_reducer(df, method, 4, narrow=narrow) for narrow in (2048, 1))
+        u, v = reduced(a, df), reduced(b, df)
+        assert u.shape == v.shape
+        cosine = np.abs((u * v).sum(axis=0)) / (np.linalg.norm(u, axis=0) * np.linalg.norm(v, axis=0))
+        assert np.abs(cosine - 1).max() < 1e-9
+        ratios = [[r["ratio"] for r in reduce.variance_table(m, df).orderBy("component").collect()] for m in (a, b)]
+        assert np.allclose(ratios[0][: u.shape[1]], ratios[1], atol=1e-9)
+
+
+def test_twenty_thousand_columns(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(24, 3)) @ r.normal(size=(3, 20_000)) + 0.01 * r.normal(size=(24, 20_000))
+    rows = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["rec_id", "features"])
+    model = reduce.fit_reducer(rows, "pca", 3)
+    y = x - x.mean(axis=0)
+    left, size, _ = np.linalg.svd(y, full_matrices=False)
+    assert np.allclose(np.abs(reduced(model, rows)), np.abs(left[:, :3] * size[:3]), atol=1e-6 * size[0])
+
+
 def test_no_reduction(df, matrix):
     assert np.allclose(reduced(reduce.fit_reducer(df, "none"), df), matrix[0])
 
