@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("curation", "evaluation", "modelling")
+MODULES = ("curation", "evaluation", "modelling", "values")
 
 
 def _modules():

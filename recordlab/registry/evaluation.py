@@ -354,7 +354,7 @@ def config_rank(spark, sf):
     return rounded(M.config_rank(scores), "mean", "std")
 
 
-REPLICATES = 50
+REPLICATES = boot.N_BOOTSTRAP
 _DRAW = (
     "CAST(CONCAT('0x', SUBSTR(MD5(CONCAT('42:', CAST(replicate AS STRING), ':', CAST(slot AS STRING))), 1, 15)) AS BIGINT)"
 )

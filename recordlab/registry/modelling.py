@@ -141,7 +141,7 @@ FROM documents""",
 def corpus_vectors(spark, sf):
     # a text has a unit vector exactly when one of its words stands at two places of the corpus
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    model = vectors.fit_corpus_vectors(docs, iters=1, partitions=8)
+    model = vectors.fit_corpus_vectors(docs, partitions=8)
     return model.transform(docs).select("doc_id", F.size("vector").alias("width"), F.round(_norm("vector"), 4).alias("norm"))
 
 
@@ -360,18 +360,9 @@ def clean_table(spark, sf):
 
 # --- classifiers ----------------------------------------------------------------------------
 
-SMALL = {
-    "RF": {"trees": 10, "depth": 4},
-    "MLP": {"hidden": (8,), "iterations": 30},
-    "LR": {"C": 0.1, "iterations": 50},
-    "GBT": {"trees": 3, "depth": 2, "rate": 0.1},
-    "SVM": {"C": 1.0, "iterations": 20, "fourier": 64},
-}
-
-
 def _holdout(spark, sf):
     rows = cut_lineage(splits.split_random(labelled(spark, sf), "rec_id"))
-    train, test, model = reduced_pair(rows.where("role = 'train'"), rows.where("role = 'test'"), "scaled_pca", 8, 0.95)
+    train, test, model = reduced_pair(rows.where("role = 'train'"), rows.where("role = 'test'"), "scaled_pca", reduce.N_COMPONENTS, reduce.VARIANCE)
     return train.persist(), test, model
 
 
@@ -393,34 +384,29 @@ def _model_query(name):
     def run(spark, sf):
         algorithm = models.algorithms(grid=False)[name]
         train, test, _ = _holdout(spark, sf)
-        model = models.fit_classifier(algorithm, train, SMALL[name], CLASSES)
+        model = models.fit_classifier(algorithm, train, {}, CLASSES)
         return _judged(models.predict(model, algorithm, test, CLASSES, ["rec_id"]))
 
     return run
 
 
-for _name in SMALL:
+for _name in ("RF", "MLP", "LR", "GBT", "SVM"):
     register(f"model_{_name.lower()}", _HOLDOUT_SQL)(_model_query(_name))
 
 
-def _grid_of(name, **grid):
-    base = models.algorithms(grid=False)[name]
-    return models.Algorithm(base.fit, grid, base.needs_scaling, base.score_all)
-
-
 @register("grid_select")
 def grid_select(spark, sf):
-    rows = cut_lineage(splits.kfold(labelled(spark, sf), "rec_id", k=3))
-    pairs = fold_pairs(rows, 3, "scaled_pca", 8)
-    small = _grid_of("LR", C=[0.01, 1.0], penalty=["l2"], iterations=[30])
-    return models.select_config(spark, small, pairs, CLASSES, parallelism=2)[2]
+    """The whole grid of a family on all folds, in shared passes."""
+    rows = cut_lineage(splits.kfold(labelled(spark, sf), "rec_id"))
+    pairs = fold_pairs(rows, splits.N_FOLDS, "scaled_pca")
+    return models.select_config(spark, models.algorithms()["LR"], pairs, CLASSES)[2]
 
 
 @register("refit_holdout")
 def refit_holdout(spark, sf):
     train, test, _ = _holdout(spark, sf)
     algorithm = models.algorithms(grid=False)["LR"]
-    model = models.fit_classifier(algorithm, train, SMALL["LR"], CLASSES)
+    model = models.fit_classifier(algorithm, train, {}, CLASSES)
     both = models.predict(model, algorithm, train, CLASSES).withColumn("role", F.lit("train")).unionByName(
         models.predict(model, algorithm, test, CLASSES).withColumn("role", F.lit("test"))
     )
@@ -433,9 +419,9 @@ def bundle_apply(spark, sf):
     train, _, reducer = _holdout(spark, sf)
     algorithm = models.algorithms(grid=False)["LR"]
     path = scratch_path(spark, "bundle")
-    fitted = models.fit_classifier(algorithm, train, SMALL["LR"], CLASSES)
+    fitted = models.fit_classifier(algorithm, train, {}, CLASSES)
     bundle = bundle_of(reducer, fitted)
-    models.save_bundle(spark, path, bundle, "LR", SMALL["LR"], CLASSES)
+    models.save_bundle(spark, path, bundle, "LR", {}, CLASSES)
     model, loaded, classes, _ = models.load_bundle(spark, path)
     return _judged(models.predict(model, loaded, labelled(spark, sf), classes, ["rec_id"]))
 
@@ -489,12 +475,8 @@ def report(spark, sf):
 
 @register("run_study")
 def study(spark, sf):
-    small = {
-        "LR": _grid_of("LR", C=[0.1], penalty=["l2"], iterations=[30]),
-        "RF": _grid_of("RF", trees=[5], depth=[3]),
-    }
-    tables = run_study(labelled(spark, sf), k=3, n_components=8, algorithms=small, n_bootstrap=20, parallelism=2)
-    return tables["intervals"]
+    """All five families with default folds, components and replicates, without their grids."""
+    return run_study(labelled(spark, sf), algorithms=models.algorithms(grid=False), parallelism=4)["intervals"]
 
 
 @register(
