@@ -7,8 +7,9 @@ Every ``length``-byte string that starts at two places of the corpus is covered
    are unique. Consecutive windows with one anchor form a fragment.
 2. Fragments that occur twice as a whole (anchor and 64-bit digest) repeat in all their windows.
 3. The other fragments of repeated anchors, and one copy of each fragment of step 2 with the
-   same anchor, go to the shard of their anchor. Each shard builds a suffix array by induced
-   sorting; permuted common prefixes of ``length`` bytes mark the windows that repeat.
+   same anchor, go to the shard of their anchor. Stretches of windows whose hash occurs twice in
+   the shard go into a suffix array by induced sorting; permuted common prefixes of ``length``
+   bytes mark the windows that repeat.
 4. Byte ranges meet per document, are merged, and cut out.
 
 All lookups are equi-joins on anchors or row keys; no text is collected for an anchor before
@@ -147,8 +148,48 @@ def _pieces_of_text(length: int):
     return cut
 
 
+def likely_parts(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Stretches that cover every window whose hash occurs twice: part, offset and bytes of each.
+
+    Windows that start at two places have equal hashes, so nothing else can repeat.
+    """
+    size = np.array([len(p) for p in parts])
+    data = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)
+    ends = np.cumsum(size + 1) - 1
+    own = np.repeat(np.arange(len(parts)), size + 1)
+    if len(data) < length:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), []
+    starts = np.flatnonzero(ends[own[: len(data) - length + 1]] - np.arange(len(data) - length + 1) >= length)
+    h = gram_hashes(data, length)[starts]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), dtype=bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    change = np.zeros(len(data) + 1, dtype=np.int32)
+    change[starts[twice]] += 1
+    change[starts[twice] + length] -= 1
+    covered = np.concatenate([[0], np.cumsum(change)[:-1] > 0, [0]]).astype(np.int8)
+    edge = np.diff(covered)
+    low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # windows end at or before their part's end, where a stretch never goes on: a mark stands there
+    part = own[low]
+    return part, low - (ends - size)[part], [data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist())]
+
+
 def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     """Starts in each part of the windows that start at two places of all parts together."""
+    part, offset, stretches = likely_parts(parts, length)
+    found: list[list[np.ndarray]] = [[] for _ in parts]
+    if stretches:
+        for p, at, starts in zip(part.tolist(), offset.tolist(), _sorted_windows(stretches, length)):
+            found[p].append(starts + at)
+    none = np.empty(0, dtype=np.int64)
+    return [np.concatenate(f) if f else none for f in found]
+
+
+def _sorted_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
+    """``repeated_windows`` by one suffix array over all bytes."""
     size = np.array([len(p) for p in parts])
     joined = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8).astype(np.int32) + 2
     ends = np.cumsum(size + 1) - 1
