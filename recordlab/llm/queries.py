@@ -71,14 +71,20 @@ def op3_sentence_spans(spark, sf):
 
 
 OP3_SQL = r"""
-WITH cut AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+') AS s FROM documents),
+WITH cut AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^.!?\n。！？؟।]*[.!?\n。！？؟।]+[ \t\r\n]*|[^.!?\n。！？؟।]+') AS s FROM documents),
 one AS (SELECT doc_id, UNNEST(s) AS sentence, UNNEST(range(len(s))) AS pos FROM cut),
 bare AS (SELECT doc_id, pos, sentence, trim(regexp_replace(sentence, '[ \t\r\n]+', ' ', 'g'), ' ') AS b FROM one),
-pair AS (SELECT doc_id, pos, b || chr(10) || LEAD(b) OVER w AS two,
-    length(b) - length(replace(b, ' ', '')) + 1 + LEAD(length(b) - length(replace(b, ' ', '')) + 1) OVER w AS words
-    FROM bare WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-ranked AS (SELECT doc_id, pos, ROW_NUMBER() OVER (PARTITION BY md5(two) ORDER BY doc_id, pos) AS r FROM pair WHERE words >= 12),
-gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, (VALUES (0), (1)) t(k) WHERE r > 1),
+sized AS (SELECT *, length(b) - length(replace(b, ' ', '')) + 1
+    + (length(b) - length(regexp_replace(b, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]', '', 'g'))) // 2 AS words FROM bare),
+runs AS (SELECT a.doc_id, a.pos, z.pos AS last, SUM(m.words) AS words FROM sized a
+    JOIN sized z ON z.doc_id = a.doc_id AND z.pos BETWEEN a.pos + 1 AND a.pos + 11
+    JOIN sized m ON m.doc_id = a.doc_id AND m.pos BETWEEN a.pos AND z.pos GROUP BY a.doc_id, a.pos, z.pos HAVING SUM(m.words) >= 12),
+spans AS (SELECT doc_id, pos, MIN(last) AS last FROM runs GROUP BY doc_id, pos UNION SELECT doc_id, MAX(pos), last FROM runs GROUP BY doc_id, last
+    UNION SELECT doc_id, pos, pos FROM sized WHERE words >= 25),
+texts AS (SELECT p.doc_id, p.pos, p.last, string_agg(b, chr(10) ORDER BY s.pos) AS t FROM spans p
+    JOIN sized s ON s.doc_id = p.doc_id AND s.pos BETWEEN p.pos AND p.last GROUP BY p.doc_id, p.pos, p.last),
+ranked AS (SELECT doc_id, pos, last, ROW_NUMBER() OVER (PARTITION BY md5(t) ORDER BY doc_id, pos) AS r FROM texts),
+gone AS (SELECT DISTINCT s.doc_id, s.pos FROM ranked r JOIN sized s ON s.doc_id = r.doc_id AND s.pos BETWEEN r.pos AND r.last WHERE r > 1),
 kept AS (SELECT b.doc_id, COUNT(*) AS n_sentences, COUNT(g.pos) AS n_removed,
     COALESCE(string_agg(sentence, '' ORDER BY b.pos) FILTER (WHERE g.pos IS NULL), '') AS t
     FROM bare b LEFT JOIN gone g ON b.doc_id = g.doc_id AND b.pos = g.pos GROUP BY b.doc_id)

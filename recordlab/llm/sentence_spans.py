@@ -1,22 +1,29 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; every run of ``run`` consecutive sentences with at least
-``min_words`` words is hashed (MD5 of the sentences without outer white space). Spans meet in
-one global aggregation that finds the first place of each hash; every other place marks its
-sentences, and marked sentences are removed from the text.
+A text is cut into sentences. From every sentence on, and back from every sentence, the shortest
+run of ``run`` or more sentences with ``min_words`` or more words is a span, as is a single
+sentence of ``alone`` or more words; a span is hashed (MD5 of its sentences without outer white
+space). So every repeated passage that holds one span is covered by spans inside it, whatever the
+lengths of its sentences. Spans meet in one global aggregation that finds the first place of each
+hash; every other place marks its sentences, and marked sentences are removed from the text.
+
+Words are counted by spaces; in scripts that write none, two letters count as a word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlab.llm.common import stored, whole_text
 
 RUN = 2
 MIN_WORDS = 12
+ALONE = 25
 #: a sentence keeps its end marks and the white space after them; a line end also ends one
-SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
+SENTENCE = r"[^.!?\n。！？؟।]*[.!?\n。！？؟।]+[ \t\r\n]*|[^.!?\n。！？؟।]+"
+#: letters of scripts without spaces between words
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -24,17 +31,51 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.withColumn("sentences", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))
 
 
-def _spans(texts: DataFrame, run: int, min_words: int) -> DataFrame:
-    """``id, hash, pos`` of every run long enough; ``id`` may be null."""
+def _size(s: Column) -> Column:
+    """Words of a bare sentence."""
+    spaces = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    letters = F.when(F.length(s) < F.octet_length(s), F.regexp_count(s, F.lit(UNSPACED))).otherwise(0)
+    return spaces + 1 + F.floor(letters / 2).cast("int")
+
+
+def _grown(words: Column, run: int, min_words: int) -> Column:
+    """Sentences of the shortest run at the front of ``words`` that is a span, 0 if there is none."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
+
+    def more(have: Column, size: Column) -> Column:
+        enough = (have["n"] >= run) & (have["sum"] >= min_words)
+        return F.when(enough, have).otherwise(F.struct((have["n"] + 1).alias("n"), (have["sum"] + size).alias("sum")))
+
+    def end(have: Column) -> Column:
+        return F.when((have["n"] >= run) & (have["sum"] >= min_words), have["n"]).otherwise(0)
+
+    return F.aggregate(words, start, more, end)
+
+
+def _spans(texts: DataFrame, run: int, min_words: int, alone: int) -> DataFrame:
+    """``id, hash, pos, size`` of every span; ``id`` may be null."""
     bare = F.transform("sentences", lambda s: F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " ")))
-    words = F.transform("bare", lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
-    cut = _cut(texts).withColumn("bare", bare).withColumn("words", words)
-    total = sum((F.get("words", F.col("pos") + i) for i in range(1, run)), F.get("words", F.col("pos")))
-    spans = cut.where(F.size("sentences") >= run).select(
-        "id", "bare", "words", F.explode(F.sequence(F.lit(0), F.size("bare") - run)).alias("pos")
+    cut = _cut(texts).where(F.size("sentences") > 0).withColumn("bare", bare)
+    cut = cut.withColumn("words", F.transform("bare", _size))
+    # a sentence has a word at least, so no shortest run is longer
+    most = max(run, min_words)
+    ahead = F.transform("words", lambda _, i: _grown(F.slice("words", i + 1, F.lit(most)), run, min_words))
+
+    def back(_: Column, j: Column) -> Column:
+        first = F.greatest(j - most + 1, F.lit(0))
+        return _grown(F.reverse(F.slice("words", first + 1, j - first + 1)), run, min_words)
+
+    cut = cut.withColumn("ahead", ahead).withColumn("back", F.transform("words", back))
+    span = lambda pos, size: F.struct(pos.alias("pos"), size.alias("size"))
+    found = F.concat(
+        F.transform("ahead", lambda n, i: span(i, n)),
+        # a run back that is also the run ahead of its first sentence is there already
+        F.transform("back", lambda n, j: span(j - n + 1, F.when(F.get("ahead", j - n + 1) != n, n).otherwise(0))),
+        F.transform("words", lambda n, i: span(i, F.when(n >= alone, 1).otherwise(0))),
     )
-    joined = F.array_join(F.slice("bare", F.col("pos") + 1, run), "\n")
-    return spans.where(total >= min_words).select("id", F.unhex(F.md5(joined)).alias("hash"), "pos")
+    rows = cut.select("id", "bare", F.explode(F.filter(found, lambda x: x["size"] > 0)).alias("s"))
+    joined = F.array_join(F.slice("bare", F.col("s.pos") + 1, F.col("s.size")), "\n")
+    return rows.select("id", F.unhex(F.md5(joined)).alias("hash"), "s.pos", "s.size")
 
 
 def remove_repeated_spans(
@@ -43,6 +84,7 @@ def remove_repeated_spans(
     text: str = "text",
     run: int = RUN,
     min_words: int = MIN_WORDS,
+    alone: int = ALONE,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id, text, kept_text, n_sentences, n_removed``.
 
@@ -55,13 +97,13 @@ def remove_repeated_spans(
     texts = docs.select(F.col(id).alias("id"), whole_text(text).alias("text"))
     # one number orders places: id, then position (a position is below 2**31)
     place = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
-    spans = stored(_spans(texts, run, min_words), "spans")
+    spans = stored(_spans(texts, run, min_words, alone), "spans")
     at = (place * F.lit(2**31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
     placed = spans.withColumn("at", at)
     first = placed.groupBy("hash").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select(F.col("hash").alias("h"), "first")
     again = placed.join(first, F.col("hash") == F.col("h")).where("at > first")
-    covered = again.select("id", F.explode(F.sequence("pos", F.col("pos") + run - 1)).alias("pos")).distinct()
+    covered = again.select("id", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
     marks = covered.groupBy("id").agg(F.collect_list("pos").alias("gone"))
     marks = marks.select(F.col("id").alias("__id"), "gone")
     cut = _cut(texts.join(marks, F.col("id").eqNullSafe(F.col("__id")), "left"))

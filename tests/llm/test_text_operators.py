@@ -233,6 +233,44 @@ def test_sentence_spans(spark, odd, none):
     assert sentence_spans.remove_repeated_spans(none).count() == 0
 
 
+def _brute_spans(rows):
+    """Kept texts by trying all runs of sentences."""
+    import re
+
+    marks = ".!?\n\u3002\uff01\uff1f\u061f\u0964"
+    cut = {i: re.findall(f"[^{marks}]*[{marks}]+[ \t\r\n]*|[^{marks}]+", t or "") for i, t, _ in rows}
+    bare = {i: [re.sub("[ \t\r\n]+", " ", x).strip(" ") for x in s] for i, s in cut.items()}
+    size = {i: [x.count(" ") + 1 + len(re.findall("[\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0e7f]", x)) // 2 for x in s] for i, s in bare.items()}
+    spans, places = set(), {}
+    for i, own in size.items():
+        long = [(a, z) for a in range(len(own)) for z in range(a + 1, len(own)) if sum(own[a : z + 1]) >= 12]
+        spans |= {(i, a, min(z for b, z in long if b == a)) for a, _ in long}
+        spans |= {(i, max(a for a, b in long if b == z), z) for _, z in long}
+        spans |= {(i, a, a) for a, n in enumerate(own) if n >= 25}
+    for i, a, z in spans:
+        places.setdefault("\n".join(bare[i][a : z + 1]), []).append((i, a, z))
+    gone = {(i, k) for found in places.values() for i, a, z in sorted(found)[1:] for k in range(a, z + 1)}
+    return {i: "".join(x for k, x in enumerate(s) if (i, k) not in gone) for i, s in cut.items()}
+
+
+def test_sentence_spans_of_every_length(spark):
+    """Short lines, long sentences, texts without spaces, and chance overlaps, against all runs."""
+    r = random.Random(8)
+    lines = "".join(f"Line {i} of this list\n" for i in range(10))
+    chinese = "".join(f"\u7b2c{c}\u884c\u6587\u5b57\u5728\u8fd9\u91cc\u3002" for c in "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03\u516b")
+    long = " ".join(f"word{i}" for i in range(30)) + ". "
+    rows = [(1, lines + "One more. ", None), (2, "Intro here. " + lines, None), (3, chinese, None), (4, "\u524d\u8a00\u3002" + chinese, None)]
+    rows += [(5, long + "Tail.", None), (6, "Head. " + long, None), (7, "Twelve words stand in this one single sentence of the list here now. Short. End.", None)]
+    rows += [(8, "Twelve words stand in this one single sentence of the list here now. Short. End. New.", None)]
+    parts = [prose(i, r.randrange(1, 14)).replace(".", "").replace(",", "") + r.choice([". ", "! ", "\n"]) for i in range(25)]
+    rows += [(i, "".join(r.choice(parts) for _ in range(r.randrange(12))), None) for i in range(20, 60)]
+    got = {x.doc_id: x for x in sentence_spans.remove_repeated_spans(frame(spark, rows)).collect()}
+    want = _brute_spans(rows)
+    assert {i: x.kept_text for i, x in got.items()} == want
+    assert got[2].kept_text == "Intro here. " and got[4].kept_text == "\u524d\u8a00\u3002" and got[6].kept_text == "Head. "
+    assert got[8].kept_text == "New."
+
+
 def _brute_cover(texts, length):
     seen = {}
     for t in texts:
