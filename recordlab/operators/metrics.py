@@ -283,7 +283,11 @@ def auc_summary(
     cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """``by…, auc_weighted, auc_macro`` over the classes that have positives."""
-    per_class = auc_per_class(pred, classes, by, weight, False, rows_per_bucket, cuts)
+    return area_averages(auc_per_class(pred, classes, by, weight, False, rows_per_bucket, cuts), by)
+
+
+def area_averages(per_class: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by…, auc_weighted, auc_macro`` of ``by…, cls, auc, P``."""
     return per_class.groupBy(*by).agg(
         (F.sum(F.col("auc") * F.col("P")) / F.sum("P")).alias("auc_weighted"),
         F.avg("auc").alias("auc_macro"),

@@ -389,3 +389,10 @@ _BOOT = {
 def bootstrap_ci(spark, sf):
     found = boot.bootstrap_ci(fx.pred(spark, sf), CLASSES, "vec_id", REPLICATES)
     return rounded(found, "mean", "lower", "upper")
+
+
+@register("bootstrap_vector")
+def bootstrap_vector(spark, sf):
+    """The same intervals from one multinomial draw for all replicates; each row moves once."""
+    found = boot.bootstrap_ci(fx.pred(spark, sf), CLASSES, "vec_id", mode="vector")
+    return rounded(found, "mean", "lower", "upper")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordlab.operators import metrics as M
+from recordlab.operators import resample as R
 from recordlab.operators.bootstrap import bootstrap_ci, bootstrap_replicates, resample_exact
 from recordlab.operators.reports import run_report
 from recordlab.operators.splits import add_weights, class_weights
@@ -127,7 +128,35 @@ def test_exact_resampling_draws_n_rows(pred):
     assert {r["w"] for r in sample.groupBy("replicate").agg(F.sum("w").alias("w")).collect()} == {600}
 
 
-@pytest.mark.parametrize("mode", ["exact", "poisson"])
+def test_vector_counts_are_a_multinomial_draw(pred):
+    """Counts of every replicate add up to n, whatever the buckets; their spread is the draw's."""
+    for bucket_rows in (4096, 37):
+        rows = R.counted_rows(pred, "rec_id", 300, 1, bucket_rows)
+        w = R._vectors(rows.select("w").toArrow().column(0).combine_chunks())
+        assert w.shape == (600, 300) and (w.sum(axis=0) == 600).all()
+        assert abs(w.mean() - 1) < 1e-12 and abs(w.var() - (1 - 1 / 600)) < 0.02
+        assert abs(np.corrcoef(w[:100].sum(axis=0), w[100:].sum(axis=0))[0, 1] + 1) < 1e-9
+    sizes = np.array([5, 0, 7, 1, 30])
+    parts = [R.bucket_totals(sizes, b, np.full(50, 43), 3) for b in range(5)]
+    assert (np.sum(parts, axis=0) == 43).all() and parts[1].sum() == 0
+
+
+def test_vector_metrics_equal_weighted_metrics(spark, pred):
+    """Cells and areas of some replicates against the ordinary operators on weighted rows."""
+    rows = R.counted_rows(pred, "rec_id", 6, 2, 50)
+    local = rows.toArrow().to_pylist()
+    long = [(i, r["label"], r["pred"], r["scores"], int(w)) for r in local for i, w in enumerate(np.frombuffer(r["w"], dtype=np.int32)) if w]
+    sample = spark.createDataFrame(long, "replicate bigint, label int, pred int, scores array<double>, w bigint")
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(R.cells_of(rows), M.confusion(sample, ["replicate"], "w"))
+    want = {(r.replicate, r.cls): r for r in M.auc_per_class(sample, CLASSES, ["replicate"], "w").collect()}
+    for score_rows in (10_000, 90):
+        got = {(r.replicate, r.cls): r for r in R.class_areas(rows, pred, CLASSES, score_rows).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k].auc - want[k].auc) < 1e-12 and got[k].P == want[k].P for k in want)
+
+
+@pytest.mark.parametrize("mode", ["exact", "poisson", "vector"])
 def test_intervals_cover_the_estimate(pred, mode):
     got = {(r["average"], r["metric"]): r for r in bootstrap_ci(pred, CLASSES, n=60, mode=mode).collect()}
     assert len(got) == 14
@@ -145,9 +174,10 @@ def test_replicates_without_a_class_are_skipped(spark):
     assert 0 < n < 60
 
 
-def test_intervals_do_not_depend_on_partitioning(pred):
-    one = sorted(map(tuple, bootstrap_ci(pred.coalesce(1), CLASSES, n=10).collect()))
-    many = sorted(map(tuple, bootstrap_ci(pred.repartition(11), CLASSES, n=10).collect()))
+@pytest.mark.parametrize("mode", ["exact", "vector"])
+def test_intervals_do_not_depend_on_partitioning(pred, mode):
+    one = sorted(map(tuple, bootstrap_ci(pred.coalesce(1), CLASSES, n=10, mode=mode).collect()))
+    many = sorted(map(tuple, bootstrap_ci(pred.repartition(11), CLASSES, n=10, mode=mode).collect()))
     assert [r[:2] for r in one] == [r[:2] for r in many]
     assert np.allclose([r[2:] for r in one], [r[2:] for r in many])
 
