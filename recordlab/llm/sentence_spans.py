@@ -2,17 +2,24 @@
 
 A text is cut into sentences. From every sentence on, and back from every sentence, the shortest
 run of ``run`` or more sentences with ``min_words`` or more words is a span, as is a single
-sentence of ``alone`` or more words; a span is hashed (MD5 of its sentences without outer white
+sentence of ``alone`` or more words; a span is hashed (128 bits, its sentences without outer white
 space). So every repeated passage that holds one span is covered by spans inside it, whatever the
-lengths of its sentences. Spans meet in one global aggregation that finds the first place of each
-hash; every other place marks its sentences, and marked sentences are removed from the text.
+lengths of its sentences. Spans meet by hash, in order of place; every place but the first of a
+hash marks its sentences, and marked sentences are removed from the text.
 
 Words are counted by spaces; in scripts that write none, two letters count as a word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlab.llm.common import stored, whole_text
@@ -23,59 +30,77 @@ ALONE = 25
 #: a sentence keeps its end marks and the white space after them; a line end also ends one
 SENTENCE = r"[^.!?\n。！？؟।]*[.!?\n。！？؟।]+[ \t\r\n]*|[^.!?\n。！？؟।]+"
 #: letters of scripts without spaces between words
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
-
-
-def _cut(texts: DataFrame) -> DataFrame:
-    """Adds ``sentences``: an array whose concatenation is the text."""
-    return texts.withColumn("sentences", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))
-
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]"
+#: hashes that may be dealt over salts, and places of a hash below which none is
+HOT, LEAST_HOT = 10_000, 256
+SALTS = 32
 
-def _size(s: Column) -> Column:
-    """Words of a bare sentence."""
-    spaces = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    letters = F.when(F.length(s) < F.octet_length(s), F.regexp_count(s, F.lit(UNSPACED))).otherwise(0)
-    return spaces + 1 + F.floor(letters / 2).cast("int")
 
+def sentence_sizes(bare: list[str]) -> np.ndarray:
+    """Words of bare sentences; an empty one counts as a word."""
+    letters = regex.compile(UNSPACED)
+    size = [s.count(" ") + 1 + (0 if s.isascii() else len(letters.findall(s)) // 2) for s in bare]
+    return np.array(size, dtype=np.int64)
 
-def _grown(words: Column, run: int, min_words: int) -> Column:
-    """Sentences of the shortest run at the front of ``words`` that is a span, 0 if there is none."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
 
-    def more(have: Column, size: Column) -> Column:
-        enough = (have["n"] >= run) & (have["sum"] >= min_words)
-        return F.when(enough, have).otherwise(F.struct((have["n"] + 1).alias("n"), (have["sum"] + size).alias("sum")))
-
-    def end(have: Column) -> Column:
-        return F.when((have["n"] >= run) & (have["sum"] >= min_words), have["n"]).otherwise(0)
-
-    return F.aggregate(words, start, more, end)
+def shortest_runs(size: np.ndarray, run: int, min_words: int, alone: int) -> list[tuple[int, int]]:
+    """First sentence and length of every span, each once."""
+    n, ends = len(size), np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(n)
+    # a run of sentences a..b-1 has ends[b] - ends[a] words
+    ahead = np.maximum(np.searchsorted(ends, ends[:-1] + min_words), at + run)
+    back = np.minimum(np.searchsorted(ends, ends[1:] - min_words, side="right") - 1, at + 1 - run)
+    spans = {(int(a), int(b)) for a, b in zip(at, ahead) if b <= n}
+    spans |= {(int(a), int(b) + 1) for a, b in zip(back, at) if a >= 0}
+    spans |= {(int(a), int(a) + 1) for a in np.flatnonzero(size >= alone)}
+    return [(a, b - a) for a, b in sorted(spans)]
 
 
 def _spans(texts: DataFrame, run: int, min_words: int, alone: int) -> DataFrame:
-    """``id, hash, pos, size`` of every span; ``id`` may be null."""
-    bare = F.transform("sentences", lambda s: F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " ")))
-    cut = _cut(texts).where(F.size("sentences") > 0).withColumn("bare", bare)
-    cut = cut.withColumn("words", F.transform("bare", _size))
-    # a sentence has a word at least, so no shortest run is longer
-    most = max(run, min_words)
-    ahead = F.transform("words", lambda _, i: _grown(F.slice("words", i + 1, F.lit(most)), run, min_words))
-
-    def back(_: Column, j: Column) -> Column:
-        first = F.greatest(j - most + 1, F.lit(0))
-        return _grown(F.reverse(F.slice("words", first + 1, j - first + 1)), run, min_words)
-
-    cut = cut.withColumn("ahead", ahead).withColumn("back", F.transform("words", back))
-    span = lambda pos, size: F.struct(pos.alias("pos"), size.alias("size"))
-    found = F.concat(
-        F.transform("ahead", lambda n, i: span(i, n)),
-        # a run back that is also the run ahead of its first sentence is there already
-        F.transform("back", lambda n, j: span(j - n + 1, F.when(F.get("ahead", j - n + 1) != n, n).otherwise(0))),
-        F.transform("words", lambda n, i: span(i, F.when(n >= alone, 1).otherwise(0))),
-    )
-    rows = cut.select("id", "bare", F.explode(F.filter(found, lambda x: x["size"] > 0)).alias("s"))
-    joined = F.array_join(F.slice("bare", F.col("s.pos") + 1, F.col("s.size")), "\n")
-    return rows.select("id", F.unhex(F.md5(joined)).alias("hash"), "s.pos", "s.size")
+    """``id, pos, size, h, g`` of every span: 128 bits of hash in two numbers."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sentences, blank = regex.compile(SENTENCE), regex.compile(r"[ \t\r\n]+")
+        for batch in batches:
+            ids, places, sizes, sums = [], [], [], []
+            for id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                bare = [blank.sub(" ", s).strip(" ") for s in sentences.findall(text)]
+                if not bare:
+                    continue
+                raw = [s.encode() for s in bare]
+                for pos, size in shortest_runs(sentence_sizes(bare), run, min_words, alone):
+                    ids.append(id)
+                    places.append(pos)
+                    sizes.append(size)
+                    sums.append(xxhash.xxh3_128_digest(b"\n".join(raw[pos : pos + size])))
+            if ids:
+                halves = np.frombuffer(b"".join(sums), dtype=np.int64).reshape(-1, 2)
+                columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())]
+                columns += [pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "pos", "size", "h", "g"])
+
+    return texts.mapInArrow(cut, "id bigint, pos int, size int, h bigint, g bigint")
+
+
+def _later_places(spans: DataFrame) -> DataFrame:
+    """``id, pos, size`` of every span that is not the first of its hash.
+
+    Spans move once, by hash, and are numbered in order of place. Hashes with more than a
+    ten-thousandth of all frequent spans (so at most ``HOT``) are dealt over salts, and the first
+    places of their salts are numbered once more.
+    """
+    counts = spans.groupBy("h").agg(F.count("*").alias("n"))
+    counts = stored(counts.where(F.col("n") > LEAST_HOT), "span-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > total // HOT).select(F.col("h").alias("k"), F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = spans.join(F.broadcast(hot), F.col("h") == F.col("k"), "left").withColumn("salt", salt).drop("k")
+    place = [F.col("id").asc_nulls_last(), F.col("pos").asc()]
+    nth = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(*place))
+    numbered = dealt.withColumn("nth", nth("h", "g", "salt"))
+    firsts = numbered.where("hot AND nth = 1").drop("nth").withColumn("nth", nth("h", "g"))
+    columns = ["id", "pos", "size"]
+    return numbered.where("nth > 1").select(*columns).unionByName(firsts.where("nth > 1").select(*columns))
 
 
 def remove_repeated_spans(
@@ -94,19 +119,15 @@ def remove_repeated_spans(
     sentences and an empty ``kept_text``. Only the two columns are read. An empty table gives no
     rows.
     """
-    texts = docs.select(F.col(id).alias("id"), whole_text(text).alias("text"))
-    # one number orders places: id, then position (a position is below 2**31)
-    place = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
-    spans = stored(_spans(texts, run, min_words, alone), "spans")
-    at = (place * F.lit(2**31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
-    placed = spans.withColumn("at", at)
-    first = placed.groupBy("hash").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("hash").alias("h"), "first")
-    again = placed.join(first, F.col("hash") == F.col("h")).where("at > first")
-    covered = again.select("id", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
-    marks = covered.groupBy("id").agg(F.collect_list("pos").alias("gone"))
+    texts = docs.select(F.col(id).cast("bigint").alias("id"), whole_text(text).alias("text"))
+    again = _later_places(_spans(texts, run, min_words, alone))
+    # at most as many different ranges as the document has sentences, three times
+    marks = again.groupBy("id").agg(F.collect_set(F.struct("pos", "size")).alias("spans"))
+    every = F.transform("spans", lambda x: F.sequence(x["pos"], x["pos"] + x["size"] - 1))
+    marks = marks.select("id", F.array_distinct(F.flatten(every)).alias("gone"))
     marks = marks.select(F.col("id").alias("__id"), "gone")
-    cut = _cut(texts.join(marks, F.col("id").eqNullSafe(F.col("__id")), "left"))
+    cut = texts.join(marks, F.col("id").eqNullSafe(F.col("__id")), "left")
+    cut = cut.withColumn("sentences", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))
     kept = F.filter("sentences", lambda s, i: ~F.array_contains("gone", i))
     size = F.size("sentences")
     left = F.size(kept)

@@ -253,8 +253,12 @@ def _brute_spans(rows):
     return {i: "".join(x for k, x in enumerate(s) if (i, k) not in gone) for i, s in cut.items()}
 
 
-def test_sentence_spans_of_every_length(spark):
-    """Short lines, long sentences, texts without spaces, and chance overlaps, against all runs."""
+@pytest.mark.parametrize("least", [256, 1])
+def test_sentence_spans_of_every_length(spark, least, monkeypatch):
+    """Short lines, long sentences, texts without spaces, and chance overlaps, against all runs;
+    also where every repeated hash goes over salts."""
+    monkeypatch.setattr(sentence_spans, "LEAST_HOT", least)
+    monkeypatch.setattr(sentence_spans, "SALTS", 3)
     r = random.Random(8)
     lines = "".join(f"Line {i} of this list\n" for i in range(10))
     chinese = "".join(f"\u7b2c{c}\u884c\u6587\u5b57\u5728\u8fd9\u91cc\u3002" for c in "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03\u516b")
