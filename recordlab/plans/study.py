@@ -25,6 +25,10 @@ from recordlab.session import cut_lineage
 from recordlab.sources import tables as io
 
 
+#: class names that a study may find in the labels
+MAX_CLASSES = 1000
+
+
 def reduced_pair(
     train: DataFrame,
     val: DataFrame,
@@ -45,15 +49,22 @@ def reduced_pair(
     return apply(train), apply(val), model
 
 
-def fold_pairs(df: DataFrame, k: int, method: str, n_components: int = N_COMPONENTS, variance: float = VARIANCE, extra: Sequence[str] = ()) -> list[tuple[DataFrame, DataFrame]]:
-    """``(train, validation)`` per fold in the fold's own reduced space, kept for repeated fits."""
-    pairs = []
+def fold_spaces(
+    df: DataFrame, k: int, method: str, n_components: int = N_COMPONENTS, variance: float = VARIANCE, extra: Sequence[str] = ()
+) -> list[tuple[DataFrame, DataFrame, PipelineModel]]:
+    """``(train, validation, reducer)`` per fold in the fold's own reduced space, kept for repeated fits."""
+    spaces = []
     for i in range(k):
-        train, val, _ = reduced_pair(
+        train, val, model = reduced_pair(
             df.where(F.col("fold") != i), df.where(F.col("fold") == i), method, n_components, variance, extra
         )
-        pairs.append((train.persist(), val.persist()))
-    return pairs
+        spaces.append((train.persist(), val.persist(), model))
+    return spaces
+
+
+def fold_pairs(df: DataFrame, k: int, method: str, n_components: int = N_COMPONENTS, variance: float = VARIANCE, extra: Sequence[str] = ()) -> list[tuple[DataFrame, DataFrame]]:
+    """``(train, validation)`` per fold."""
+    return [space[:2] for space in fold_spaces(df, k, method, n_components, variance, extra)]
 
 
 def run_study(
@@ -61,6 +72,7 @@ def run_study(
     key: str = "rec_id",
     classes: Sequence[int] | None = None,
     extra: Sequence[str] = (),
+    labs: DataFrame | None = None,
     method: str = "scaled_pca",
     n_components: int = N_COMPONENTS,
     variance: float = VARIANCE,
@@ -80,7 +92,9 @@ def run_study(
 ) -> dict[str, DataFrame]:
     """``features`` has ``key, label, features`` and optional numeric ``extra`` columns.
 
-    A null in ``extra`` is a feature of -1. A time split takes both year ranges with their ends;
+    ``labs`` is a second table, for instance the numeric columns of a cleaned one: its columns but
+    the key are further ``extra`` columns, and every key must stand once on both sides. A null in
+    ``extra`` is a feature of -1. A time split takes both year ranges with their ends;
     ``bootstrap_mode`` is ``exact`` or, for very large hold-outs, ``poisson``.
 
     Returns the report tables plus ``predictions``, ``holdout`` (metrics per algorithm and
@@ -89,6 +103,9 @@ def run_study(
     """
     spark = features.sparkSession
     algorithms = dict(algorithms or models.algorithms(seed))
+    if labs is not None:
+        extra = [*extra, *(c for c in labs.columns if c != key)]
+        features = io.pair_by_key(features, labs, key)
     if split == "time":
         if date is None:
             raise ValueError("a time split needs the date column")
@@ -101,9 +118,12 @@ def run_study(
     train = cut_lineage(splits.kfold(parts.where(F.col("role") == splits.TRAIN), key, k=k, seed=seed))
     test = parts.where(F.col("role") == splits.TEST)
     if classes is None:
-        classes = sorted(r[0] for r in parts.select("label").distinct().collect())
+        classes = sorted(r[0] for r in parts.select("label").distinct().limit(MAX_CLASSES + 1).collect())
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
 
-    pairs = fold_pairs(train, k, method, n_components, variance, extra)
+    spaces = fold_spaces(train, k, method, n_components, variance, extra)
+    pairs = [space[:2] for space in spaces]
     chosen, rankings, cv_parts = {}, [], []
     for name, algorithm in algorithms.items():
         params, score, ranking = models.select_config(
@@ -142,6 +162,9 @@ def run_study(
             )
             io.write_modeling_data(rows, f"{out}/modeling_data/{'all' if i == len(pairs) else i}", width, ["role"])
         io.write_tables(diagnostics(reducer, train, test, method, key), f"{out}/reduction")
+        for i, (_, _, own) in enumerate(spaces):
+            outside, inside = train.where(F.col("fold") != i), train.where(F.col("fold") == i)
+            io.write_tables(diagnostics(own, outside, inside, method, key), f"{out}/reduction_folds/{i}")
     for a, b in [*pairs, (full_train, full_test)]:
         a.unpersist()
         b.unpersist()

@@ -399,7 +399,10 @@ def grid_select(spark, sf):
     """The whole grid of a family on all folds, in shared passes."""
     rows = cut_lineage(splits.kfold(labelled(spark, sf), "rec_id"))
     pairs = fold_pairs(rows, splits.N_FOLDS, "scaled_pca")
-    return models.select_config(spark, models.algorithms()["LR"], pairs, CLASSES)[2]
+    ranking = models.select_config(spark, models.algorithms()["LR"], pairs, CLASSES)[2]
+    for part in (part for pair in pairs for part in pair):
+        part.unpersist()
+    return ranking
 
 
 @register("refit_holdout")
@@ -476,7 +479,7 @@ def report(spark, sf):
 @register("run_study")
 def study(spark, sf):
     """All five families with default folds, components and replicates, without their grids."""
-    return run_study(labelled(spark, sf), algorithms=models.algorithms(grid=False), parallelism=4)["intervals"]
+    return run_study(labelled(spark, sf), algorithms=models.algorithms(grid=False), parallelism=splits.N_FOLDS)["intervals"]
 
 
 @register(

@@ -218,7 +218,15 @@ def test_kernel_machine_equals_the_dual(spark):
 def test_study_saves_usable_bundles(spark, df, tmp_path):
     base = models.algorithms(grid=False)["LR"]
     algorithms = {"LR": models.Algorithm(base.fit, {"C": [1.0], "iterations": [30]}, True)}
-    tables = run_study(df, extra=["lab"], n_components=3, k=2, algorithms=algorithms, n_bootstrap=15, out=str(tmp_path))
+    labs = df.select("rec_id", "lab")
+    settings = dict(n_components=3, k=2, algorithms=algorithms, n_bootstrap=15)
+    with pytest.raises(ValueError, match="without a partner"):
+        run_study(df.drop("lab"), labs=labs.where("rec_id > 3"), **settings)
+    tables = run_study(df.drop("lab"), labs=labs, out=str(tmp_path), **settings)
+    for i in range(2):
+        own = {r["role"]: r["n_rows"] for r in spark.read.parquet(f"{tmp_path}/reduction_folds/{i}/summary").collect()}
+        assert sum(own.values()) == df.count() - tables["predictions"].where("role = 'test'").count()
+        assert spark.read.parquet(f"{tmp_path}/reduction_folds/{i}/components").count() == 18
     assert tables["holdout"].count() == 2 and tables["intervals"].count() == 14
     assert tables["best"].first()["algorithm"] == "LR"
     model, kind, classes, _ = models.load_bundle(spark, f"{tmp_path}/models/LR")
