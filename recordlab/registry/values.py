@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from recordlab.operators import models, reduce, splits, trees
+from recordlab.operators import contexts, models, reduce, splits, trees
 from recordlab.operators.splits import add_weights
 from recordlab.plans.curate import curate
 from recordlab.registry.curation import ITEMS, as_json
@@ -104,6 +104,15 @@ register("pca_plane", _PLANE_SQL)(lambda spark, sf: _plane(spark, sf, reduce.NAR
 register("pca_plane_passes", _PLANE_SQL)(lambda spark, sf: _plane(spark, sf, 0))
 
 
+@register("context_vectors")
+def context_vectors(spark, sf):
+    """Unit vectors of all texts from hashed contexts, at default settings."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = contexts.fit_context_vectors(docs).transform(docs)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return found.select("doc_id", F.size("vector").alias("width"), F.round(norm, 4).alias("norm"))
+
+
 # --- through files ------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from recordlab.operators import models, reduce, vectors
+from recordlab.operators import contexts, models, reduce, vectors
 from recordlab.operators.fitted import KernelMap, kernel
 from recordlab.operators.krylov import krylov
 from recordlab.plans.study import fold_pairs, reduced_pair, run_study
@@ -297,3 +297,38 @@ def test_missing_extra_features(spark):
     direct = {r["rec_id"]: r["pred"] for r in models.predict(fitted, algorithm, val, [0, 1], ["rec_id"]).collect()}
     whole = {r["rec_id"]: r["pred"] for r in models.predict(bundle, algorithm, df.where("rec_id >= 30"), [0, 1], ["rec_id"]).collect()}
     assert direct == whole and len(whole) == 10
+
+
+def test_context_vectors_against_a_dense_factorisation(spark):
+    """Counts by hand, and inner products of texts from numpy's singular vectors."""
+    r = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(25)]
+    texts = [" ".join(r.choice(words, r.integers(1, 12))) for _ in range(60)] + ["", None, "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    b = 40
+    bucket = {r["w"]: r["k"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.expr(f"CAST(pmod(xxhash64(w), {b}) AS INT) AS k")).collect()}
+    want = np.zeros((b, b))
+    for t in texts:
+        own = [bucket[w] for w in (t or "").split()]
+        for i in range(len(own)):
+            for j in range(max(0, i - 2), min(len(own), i + 3)):
+                if i != j:
+                    want[own[i], own[j]] += 1
+    got = np.zeros((b, b))
+    for row in contexts.context_counts(df, window=2, buckets=b).collect():
+        got[row.a, row.b] = row.n
+    assert (got == want).all()
+    sums = want.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = np.nan_to_num(np.maximum(np.log(want * sums.sum() / np.outer(sums, sums)), 0), nan=0.0)
+    u, s, _ = np.linalg.svd(m)
+    plain = u[:, :4] * np.sqrt(s[:4])
+    model = contexts.fit_context_vectors(df, size=4, window=2, buckets=b, tolerance=1e-10)
+    assert np.abs(model.matrix @ model.matrix.T - plain @ plain.T).max() < 1e-6
+    rows = {x["id"]: np.array(x["vector"]) for x in model.transform(df, normalise=False).collect()}
+    for i, t in enumerate(texts):
+        own = [bucket[w] for w in (t or "").split()]
+        mean = model.matrix[own].mean(axis=0) if own else np.zeros(4)
+        assert np.abs(rows[i] - mean).max() < 1e-12
+    none = contexts.fit_context_vectors(df.where("id >= 60"), size=4, buckets=b)
+    assert not none.matrix.any() and none.transform(df.limit(3)).count() == 3
