@@ -12,6 +12,7 @@ Words are counted by spaces; in scripts that write none, two letters count as a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +36,26 @@ UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]"
 HOT, LEAST_HOT = 10_000, 256
 SALTS = 32
 
+_SENTENCES, _BLANK, _LETTERS = re.compile(SENTENCE), re.compile(r"[ \t\r\n]+"), regex.compile(UNSPACED)
+
 
 def sentence_sizes(bare: list[str]) -> np.ndarray:
     """Words of bare sentences; an empty one counts as a word."""
-    letters = regex.compile(UNSPACED)
-    size = [s.count(" ") + 1 + (0 if s.isascii() else len(letters.findall(s)) // 2) for s in bare]
+    size = [s.count(" ") + 1 + (0 if s.isascii() else len(_LETTERS.findall(s)) // 2) for s in bare]
     return np.array(size, dtype=np.int64)
 
 
+def bare_sentences(text: str) -> list[str]:
+    """Sentences without outer white space, runs of it inside as one space."""
+    out = []
+    for s in _SENTENCES.findall(text):
+        s = s.strip(" \t\r\n")
+        if "  " in s or "\t" in s or "\r" in s:
+            s = _BLANK.sub(" ", s)
+        out.append(s)
+    return out
+
+
 def shortest_runs(size: np.ndarray, run: int, min_words: int, alone: int) -> list[tuple[int, int]]:
     """First sentence and length of every span, each once."""
     n, ends = len(size), np.concatenate([[0], np.cumsum(size)])
@@ -60,11 +73,10 @@ def _spans(texts: DataFrame, run: int, min_words: int, alone: int) -> DataFrame:
     """``id, pos, size, h, g`` of every span: 128 bits of hash in two numbers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sentences, blank = regex.compile(SENTENCE), regex.compile(r"[ \t\r\n]+")
         for batch in batches:
             ids, places, sizes, sums = [], [], [], []
             for id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                bare = [blank.sub(" ", s).strip(" ") for s in sentences.findall(text)]
+                bare = bare_sentences(text)
                 if not bare:
                     continue
                 raw = [s.encode() for s in bare]
@@ -128,13 +140,15 @@ def remove_repeated_spans(
     marks = marks.select(F.col("id").alias("__id"), "gone")
     cut = texts.join(marks, F.col("id").eqNullSafe(F.col("__id")), "left")
     cut = cut.withColumn("sentences", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))
-    kept = F.filter("sentences", lambda s, i: ~F.array_contains("gone", i))
     size = F.size("sentences")
-    left = F.size(kept)
+    stays = F.array_except(F.sequence(F.lit(0), size - 1), "gone")
+    cut = cut.withColumn("stays", F.when(F.col("gone").isNotNull() & (size > 0), stays))
+    kept = F.transform("stays", lambda i: F.get("sentences", i))
+    left = F.size("stays")
     return cut.select(
         F.col("id").alias(id),
         F.col("text").alias(text),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("kept_text"),
+        F.when(F.col("stays").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("kept_text"),
         size.alias("n_sentences"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(size - left).alias("n_removed"),
+        F.when(F.col("stays").isNull(), F.lit(0)).otherwise(size - left).alias("n_removed"),
     )
