@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from recordlab.llm.common import stored, whole_text
 
 #: characters that are encoded and aligned in one call
-CALL = 4 << 20
+CALL = 1 << 20
 #: pairs that may be broadcast, compared with the bound that the vocabularies prove
 BROADCAST_PAIRS = 4_000_000
 MAX_VOCABULARY_BYTES = 64 << 20
