@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 
 from recordlab.llm import decontaminate as d
@@ -41,3 +42,31 @@ def test_substituted_and_short_items_are_found(spark):
         spark.createDataFrame(one_more, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     )
     assert found.count() == 0
+
+
+def test_all_documents_against_all_items_by_brute_force(spark, sf):
+    """Every diagonal of every document and item is tried; nothing is missed and nothing added."""
+    import re
+
+    from recordlab.llm.decontaminate import SHARE, WINDOW, contaminated
+
+    def cut(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    names = {}
+    number = lambda words: np.array([names.setdefault(w, len(names)) for w in words], dtype=np.int64)
+    bench = [(r.item_id, number(cut(r.text))) for r in items.collect()]
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = number(cut(r.text))
+        for item, own in bench:
+            width = min(WINDOW, len(own))
+            padded = np.concatenate([np.full(len(own), -1), words, np.full(len(own), -1)])
+            same = np.lib.stride_tricks.sliding_window_view(padded, len(own)) == own
+            sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
+            best = int((sums[:, width:] - sums[:, :-width]).max())
+            if best >= np.ceil(width * SHARE):
+                want[r.doc_id, item] = best
+    got = {(r.doc_id, r.item_id): r.matched for r in contaminated(docs, items).collect()}
+    assert got == want and want
