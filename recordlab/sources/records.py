@@ -43,6 +43,12 @@ def _is(v: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
+def _once(v: Column) -> Column:
+    """The same value, one row per row. The optimiser copies a projection into every filter and
+    every expression that reads it, and would parse the JSON anew in each; it stops here."""
+    return F.explode_outer(F.array(v))
+
+
 def parse_documents(df: DataFrame, text: str = "value") -> DataFrame:
     """Add ``doc VARIANT``: the object itself, or element 0 of a list that starts with one.
 
@@ -63,53 +69,57 @@ def project_records(df: DataFrame, text: str = "value", literals: bool = True) -
 
     A result is a number (``res_num``) or a string (``res_txt``) as written in the JSON.
     ``res_raw`` is the result as text; with ``literals`` it keeps the JSON spelling (a variant
-    prints 5.0 as 5), which costs a second parse that only the text rendering needs. Items that
-    are no objects have only null fields: they count as items but carry nothing.
+    prints 5.0 as 5), which costs a second parse of the records that have such a number. Items
+    that are no objects have only null fields: they count as items but carry nothing.
     """
-    items = F.try_variant_get("doc", f"$['{LAB_KEY}']", _ITEMS)
-    if literals:
-        raw = F.try_element_at(F.from_json(text, _RAW_ITEMS), F.lit(1))[LAB_KEY][RESULT_KEY]
-        raw = F.coalesce(raw, F.array().cast("array<string>"))
-    else:
-        raw = F.array().cast("array<string>")
-
     def shown(v: Column) -> Column:
         return F.try_variant_get(v, "$", "string")
 
-    # two steps, so that each type test and each text is made once per item
-    def read(pair: Column) -> Column:
-        v = pair["v"]
+    # in steps, so that the items, each type test and each text are made once
+    def read(v: Column) -> Column:
         age = F.coalesce(*[v[k] for k in AGE_KEYS])
         return F.struct(
             v.alias("v"),
-            pair["raw"].alias("raw"),
-            _is(v[RESULT_KEY], "STRING").alias("is_text"),
+            F.schema_of_variant(v[RESULT_KEY]).alias("kind"),
             shown(v[RESULT_KEY]).alias("shown"),
             F.when(~_is(age, "STRING"), F.try_variant_get(age, "$", "double")).alias("age_num"),
             F.array(*[shown(v[k]) for k in AGE_KEYS]).alias("ages"),
         )
 
-    def item(x: Column) -> Column:
-        v = x["v"]
+    def respelled(x: Column) -> Column:
+        plain = F.coalesce(x["kind"], F.lit("VOID")).isin("STRING", "BIGINT", "BOOLEAN", "VOID")
+        return ~plain | F.coalesce(x["shown"] == "0", F.lit(False))
+
+    def item(x: Column, raw: Column | None) -> Column:
+        v, is_text = x["v"], F.coalesce(x["kind"].startswith("STRING"), F.lit(False))
         return F.struct(
             v[ITEM_KEY].alias("item"),
-            F.when(~x["is_text"], F.try_variant_get(v[RESULT_KEY], "$", "double")).alias("res_num"),
-            F.when(x["is_text"], x["shown"]).alias("res_txt"),
-            F.coalesce(x["raw"], x["shown"]).alias("res_raw"),
+            F.when(~is_text, F.try_variant_get(v[RESULT_KEY], "$", "double")).alias("res_num"),
+            F.when(is_text, x["shown"]).alias("res_txt"),
+            (x["shown"] if raw is None else F.coalesce(raw, x["shown"])).alias("res_raw"),
             x["age_num"].alias("age_num"),
             _first_text([x["ages"][i] for i in range(len(AGE_KEYS))]).alias("age"),
             _first_text([v[k] for k in SEX_KEYS]).alias("sex"),
             F.try_to_date(v[DATE_KEY], "yyyy-MM-dd").alias("test_date"),
         )
 
-    paired = F.slice(F.arrays_zip(items.alias("v"), raw.alias("raw")), F.lit(1), F.size(items))
     sections = F.struct(*[_get(F.col("doc"), s, k).alias(s) for s, (k, _, _) in SECTIONS.items()])
     rec_id = _get(F.col("doc"), RECORD_KEY)
     if "file_name" in df.columns:
         rec_id = F.coalesce(rec_id, F.regexp_replace("file_name", r"\.[^.]*$", ""))
     keep = [c for c in df.columns if c not in (text, "doc")]
-    return df.select(
-        rec_id.alias("rec_id"), *keep, sections.alias("sections"), F.transform(F.transform(paired, read), item).alias("labs")
+    items = F.try_variant_get("doc", f"$['{LAB_KEY}']", _ITEMS)
+    staged = df.select(
+        rec_id.alias("rec_id"), *keep, sections.alias("sections"), _once(F.transform(items, read)).alias("__read"), *([text] if literals else [])
+    )
+    if not literals:
+        return staged.select("rec_id", *keep, "sections", _once(F.transform("__read", lambda x: item(x, None))).alias("labs"))
+    # whole numbers but 0 (which may be -0) and texts read the same in both parses
+    raw = F.try_element_at(F.from_json(text, _RAW_ITEMS), F.lit(1))[LAB_KEY][RESULT_KEY]
+    raw = F.coalesce(F.when(F.exists("__read", respelled), raw), F.array().cast("array<string>"))
+    paired = F.slice(F.arrays_zip(F.col("__read").alias("x"), raw.alias("raw")), F.lit(1), F.size("__read"))
+    return staged.select(
+        "rec_id", *keep, "sections", _once(F.transform(paired, lambda pair: item(pair["x"], pair["raw"]))).alias("labs")
     )
 
 

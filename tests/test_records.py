@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from recordlab.operators.quality import keep_nonempty, valid_stats
 from recordlab.plans.clean import clean_table
-from recordlab.plans.curate import curate
+from recordlab.plans.curate import curate, quality_stages
 from recordlab.sources import records as rec
 from recordlab.sources import tables as io
 from recordlab.streaming.quality import read_record_stream, start_filter
@@ -165,3 +165,35 @@ def test_clean_table_learns_from_training_rows_only(spark):
     second = clean_table(spark.createDataFrame(moved, schema), key=("rec_id", "train"), fit_where=F.col("train"))
     pick = lambda c: sorted(map(tuple, c.table.where("train").collect()))
     assert pick(first) == pick(second)
+
+
+def test_filters_read_the_json_once(spark):
+    docs = spark.createDataFrame([('{"患者编号":"1","检验":[{"项目名称":"a","结果":1,"年龄":"30"}]}',)], "value STRING")
+    kept = quality_stages(rec.project_records(rec.parse_documents(docs)))[1]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"$['{rec.LAB_KEY}']") == 1
+    assert [r["rec_id"] for r in kept.collect()] == ["1"]
+
+
+def test_spelling_of_results(spark):
+    results = ["5.0", "1e2", "-0", "0", "12", "true", "null", '"5.0"', '"-0"', "12345678901234567890", '{"a":1}']
+    for given in (results, ["12", '"x"', "null"], ["5.50"]):
+        items = ",".join(f'{{"结果":{r}}}' for r in given)
+        docs = spark.createDataFrame([(f'{{"检验":[{items}]}}',)], "value STRING")
+        labs = rec.project_records(rec.parse_documents(docs)).first()["labs"]
+        want = [None if r == "null" else r.strip('"') if r.startswith('"') else r for r in given]
+        assert [x["res_raw"] for x in labs] == want
+
+
+def test_corpus_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return f"text {i}"
+
+    rows = spark.range(50).select(F.col("id").cast("string").alias("rec_id"), (F.col("id") % 3).alias("label"), text("id").alias("text"))
+    io.write_corpus(rows, str(tmp_path / "corpus"))
+    assert made.value == 50
+    assert io.read_corpus(spark, str(tmp_path / "corpus")).count() == 50
