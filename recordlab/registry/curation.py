@@ -11,7 +11,7 @@ from recordlab.operators import narrative as narr
 from recordlab.operators import quality, redact, wide
 from recordlab.registry import fixtures as fx
 from recordlab.registry.fixtures import duck, table
-from recordlab.session import cut_lineage, scratch_path
+from recordlab.session import cut_lineage, scratch_path, stored
 from recordlab.sources import records as rec
 from recordlab.sources import tables as io
 
@@ -573,7 +573,8 @@ def numeric_features(spark, sf):
 )
 def io_roundtrip(spark, sf):
     base = scratch_path(spark, "io")
-    records = rec.project_records(rec.parse_documents(as_json(spark, sf).select("value")))
+    # three files are made of the records: parsed once
+    records = stored(rec.project_records(rec.parse_documents(as_json(spark, sf).select("value"))), "io-records")
     io.write_statistics(quality.valid_stats(records), f"{base}/stats")
     corpus = narr.narrative(records.withColumn("label", F.col("rec_id").cast("bigint") % 3), "label")
     io.write_corpus(corpus, f"{base}/corpus")
