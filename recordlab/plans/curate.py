@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordlab.operators import quality
 from recordlab.operators.narrative import narrative
 from recordlab.operators.wide import wide_table
-from recordlab.session import cut_lineage
+from recordlab.session import stored
 from recordlab.sources import records as rec
 from recordlab.sources import tables as io
 
@@ -33,12 +33,12 @@ def curate(
 ) -> dict[str, DataFrame]:
     """``records, statistics, corpus, wide, rejects``; written below ``out`` when given.
 
-    The records are parsed once: statistics, corpus and wide table branch from the checkpointed
+    The records are parsed once: statistics, corpus and wide table branch from the stored
     statistics rows. Rejects read the inputs again when they are asked for.
     """
     documents = rec.read_documents(spark, dirs, labels, per_line)
     readable = rec.project_records(documents.where(F.col("doc").isNotNull()))
-    stats = cut_lineage(quality_stages(readable, threshold, min_age)[0])
+    stats = stored(quality_stages(readable, threshold, min_age)[0], "records")
     kept = quality.filter_quality(stats, threshold, min_age)
     result = {
         "records": kept,
