@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordlab.llm.common import stored
 from recordlab.llm.induced import permuted_prefixes, suffix_array
 from recordlab.llm.language import predict, train
+from recordlab.llm.ngram_model import score_documents
 from recordlab.llm.queries import ORACLE, QUERIES
 from recordlab.llm.simhash import fingerprint
 from recordlab.registry.check import compare, duck_connection
@@ -97,3 +99,14 @@ def test_whole_buckets_give_the_same_order():
     sa = suffix_array(t).tolist()
     assert sorted(sa) == list(range(len(t)))
     assert all(raw[a:] < raw[b:] for a, b in zip(sa, sa[1:]))
+
+
+def test_op11_gives_a_word_the_two_before_it(spark, tmp_path):
+    texts = ["a b c", "x b d", "a b c", "x b d", "a b d"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op11_elias_fano_lm"](spark, str(tmp_path)).collect()}
+    tenth = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    by = {n: {r["doc_id"]: r["score"] for r in score_documents(docs, tenth, order=n).collect()} for n in (2, 3)}
+    assert got == pytest.approx(by[3])
+    assert got[0] > by[2][0] + 0.1
