@@ -129,3 +129,23 @@ def test_result_does_not_depend_on_partitioning(spark):
     one = values(knn_impute(df.coalesce(1), columns, 5, min_block_rows=64), columns)
     many = values(knn_impute(df.repartition(9), columns, 5, min_block_rows=8), columns)
     assert np.array_equal(one, many)
+
+
+def test_ties_leave_few_entries(spark, monkeypatch):
+    # few different values: rows that share one column tie at distance 0 with donors of every block
+    rng = np.random.default_rng(12)
+    x = rng.integers(1, 12, size=(700, 6)).astype(float)
+    x[rng.random(x.shape) < 0.5] = np.nan
+    df, columns = frame(spark, x)
+    seen = []
+    original = impute._best
+
+    def spy(candidates, k):
+        seen.append(candidates.count())
+        return original(candidates, k)
+
+    monkeypatch.setattr(impute, "_best", spy)
+    got = values(knn_impute(df, columns, 5, min_block_rows=8), columns)
+    assert np.allclose(got, brute(x, x, 5), equal_nan=True, rtol=0, atol=1e-9)
+    # no more than a few times the five entries that a cell needs, whatever the number of blocks
+    assert max(seen) < 3 * 5 * np.isnan(x).sum()
