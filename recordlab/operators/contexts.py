@@ -23,6 +23,8 @@ from recordlab.operators.krylov import krylov
 from recordlab.session import scratch_path
 
 SIZE, WINDOW, BUCKETS = 100, 5, 1 << 13
+#: places counted at a time, and different pairs that a task holds before it passes them on
+STEP, HELD = 1 << 19, 1 << 22
 #: residuals relative to the largest singular value's square; finer ones don't change a text
 TOLERANCE = 1e-2
 
@@ -33,18 +35,60 @@ def _buckets(column: str, buckets: int) -> Column:
 
 
 def context_counts(df: DataFrame, column: str = "text", window: int = WINDOW, buckets: int = BUCKETS) -> DataFrame:
-    """``a, b, n``: places where buckets stand within ``window`` words, in both orders."""
-    rows = df.select(_buckets(column, buckets).alias("w")).where(F.size("w") > 1)
+    """``a, b, n``: places where buckets stand within ``window`` words, in both orders.
 
-    def apart(d: Column) -> Column:
-        length = F.greatest(F.size("w") - d, F.lit(0))
-        left = F.slice("w", F.lit(1), length)
-        return F.arrays_zip(left.alias("a"), F.slice("w", d + 1, length).alias("b"))
+    Tasks count unordered pairs in Arrow batches and pass on a pair once per ``HELD`` different ones,
+    so that a pair's places are neither rows nor shuffled.
+    """
+    rows = df.select(_buckets(column, buckets).alias("w")).where(F.size("w") > 1)
 
-    pairs = rows.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), apart))).alias("p"))
-    one = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    return both.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for found in _codes(batch.column(0), window, buckets):
+                more, n = np.unique(found, return_counts=True)
+                codes, counts = _added(codes, counts, more, n)
+                if len(codes) > HELD:
+                    yield _counted(codes, counts, buckets)
+                    codes, counts = codes[:0], counts[:0]
+        if len(codes):
+            yield _counted(codes, counts, buckets)
+
+    one = rows.mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    here = F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    twice = F.array(F.struct("a", "b", (2 * F.col("n")).alias("n")))
+    return one.select(F.inline(F.when(F.col("a") == F.col("b"), twice).otherwise(here)))
+
+
+def _codes(words: pa.ListArray, window: int, buckets: int) -> Iterator[np.ndarray]:
+    """``smaller * buckets + larger`` of every two words of a text within ``window``, ``STEP`` places at a time."""
+    ends = words.offsets.to_numpy().astype(np.int64)
+    flat = words.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
+    text = np.repeat(np.arange(len(words)), np.diff(ends))
+    for start in range(0, len(flat), STEP):
+        parts = []
+        for d in range(1, window + 1):
+            b = flat[start + d : start + d + STEP]
+            a = flat[start : start + len(b)]
+            own = text[start : start + len(b)] == text[start + d : start + d + STEP]
+            parts.append((np.minimum(a, b) * buckets + np.maximum(a, b))[own])
+        yield np.concatenate(parts)
+
+
+def _added(codes: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of codes with counts as one."""
+    every = np.concatenate([codes, more])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    if not len(every):
+        return every, np.concatenate([counts, n])
+    start = np.flatnonzero(np.concatenate([[True], np.diff(every) != 0]))
+    return every[start], np.add.reduceat(np.concatenate([counts, n])[order], start)
+
+
+def _counted(codes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    arrays = [pa.array(codes // buckets, pa.int32()), pa.array(codes % buckets, pa.int32()), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "n"])
 
 
 @dataclass

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -332,3 +333,23 @@ def test_context_vectors_against_a_dense_factorisation(spark):
         assert np.abs(rows[i] - mean).max() < 1e-12
     none = contexts.fit_context_vectors(df.where("id >= 60"), size=4, buckets=b)
     assert not none.matrix.any() and none.transform(df.limit(3)).count() == 3
+
+
+def test_context_pairs_are_counted_in_batches(spark, monkeypatch):
+    """Pairs of a text across the places that are counted at a time, and one exchange for all counts."""
+    monkeypatch.setattr(contexts, "STEP", 3)
+    r = np.random.default_rng(8)
+    texts = [r.integers(0, 6, n).tolist() for n in (7, 2, 1, 0, 11, 4)]
+    want = {}
+    for t in texts:
+        for i in range(len(t)):
+            for j in range(i + 1, min(len(t), i + 5)):
+                code = min(t[i], t[j]) * 6 + max(t[i], t[j])
+                want[code] = want.get(code, 0) + 1
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for found in contexts._codes(pa.array([[9], *texts], pa.list_(pa.int32()))[1:], 4, 6):
+        codes, counts = contexts._added(codes, counts, *np.unique(found, return_counts=True))
+    assert dict(zip(codes.tolist(), counts.tolist())) == want
+    df = spark.createDataFrame([("a b a c",)], "text STRING")
+    plan = contexts.context_counts(df, window=2, buckets=8)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "MapInArrow" in plan
