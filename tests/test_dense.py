@@ -122,3 +122,43 @@ def test_weights_count(spark):
         for t, n in ((twice, 1.0), (copies, 60 / (60 + (y == 1).sum())))
     )
     assert np.abs(a - b).max() < 1e-4
+
+
+def test_second_derivatives_by_differences():
+    r = np.random.default_rng(5)
+    shapes = D.shapes_of([4, 3])
+    flat = r.normal(size=15)
+    x, y, w = r.normal(size=(20, 4)), r.integers(3, size=20), r.random(20)
+    h = D.curvature_matrix(D.curvature(flat, shapes, x, w), 4, 3)
+    for i in range(15):
+        e = np.zeros(15)
+        e[i] = 1e-6
+        d = (D.loss_and_gradient(flat + e, shapes, x, y, w)[1] - D.loss_and_gradient(flat - e, shapes, x, y, w)[1]) / 2e-6
+        assert np.abs(d - h[i]).max() < 1e-6
+
+
+def test_regressions_take_few_passes(spark, monkeypatch):
+    """Second-order steps reach the minimum of the first-order ones."""
+    df, x, y, w = table(spark, 300)
+    blocks = D.to_blocks(df, "features", "label_index", "weight", "fold")
+    configs = [{"C": c, "penalty": p} for c in (0.01, 10.0) for p in ("l1", "l2")]
+    found, passes = D.fit_regressions(blocks, 4, 3, configs, [0, 1])
+    assert passes <= 15
+    monkeypatch.setattr(D, "CURVE_BYTES", 0)
+    slow, more = D.fit_regressions(blocks, 4, 3, configs, [0, 1])
+    assert more > passes
+    for k, flat in found.items():
+        a, b = (D._outputs(D.split(f, D.shapes_of([4, 3])), x)[-1] for f in (flat, slow[k]))
+        assert np.abs(a - b).max() < 1e-4
+
+
+def test_sums_of_few_tasks_and_by_exchange_agree(spark, monkeypatch):
+    df, x, y, w = table(spark)
+    blocks = D.to_blocks(df.repartition(3), "features", "label_index", "weight")
+    each = lambda rows, sent, total: total.__setitem__(slice(0, 70), total[:70] + rows.w.sum() * sent)
+    sent = np.arange(70.0)
+    direct = D.summed(blocks, sent, each, 70, D.task_count(blocks))
+    monkeypatch.setattr(D, "DIRECT_BYTES", 0)
+    assert np.abs(direct - w.sum() * sent).max() < 1e-9
+    assert np.abs(D.summed(blocks, sent, each, 70, 3) - direct).max() < 1e-9
+    assert (D.summed(blocks.limit(0), sent, each, 70, 1) == 0).all()
