@@ -126,3 +126,48 @@ def test_fitted_stage_is_saved_and_scores_odd_rows(spark, tmp_path):
     assert {tuple(r.probability) for r in empty.transform(odd).collect()} == {(0.5, 0.5)}
     one = df.withColumn("label_index", F.lit(1.0))
     assert {r.prediction for r in T.fit_forest(one, "features", 3, trees=3).transform(df).collect()} == {1.0}
+
+
+def test_boosted_leaves_of_full_depth_need_no_pass(spark, monkeypatch):
+    """Large nodes are read once a level, and none where the depth ends."""
+    df, x, y, w = table(spark)
+    passes = []
+    level, whole = T._level_pass, T._whole_nodes
+    monkeypatch.setattr(T, "_level_pass", lambda *a: passes.append("level") or level(*a))
+    monkeypatch.setattr(T, "_whole_nodes", lambda *a: passes.append("whole") or whole(*a))
+    model = T.fit_boosting(df, "features", 3, trees=6, depth=2, small=1)
+    assert passes == ["level"] * 12
+    m = T.unpacked(model.getOrDefault(model.model))
+    got = T.add_margins(T.code_rows(x, m["edges"]), np.zeros((len(x), 3)), [m["trees"][i : i + 3] for i in range(0, 18, 3)])
+    assert np.abs(got - plain_boosting(x, y, w, 3, 6, 2, 0.3, 1.0, 0.0)).max() < 1e-9
+
+
+@pytest.mark.parametrize("small", [10_000, 40])
+def test_a_deep_forest_is_kept_in_few_bytes_a_node(spark, small):
+    r = np.random.default_rng(3)
+    rows = [(a.tolist(), float(c), 1.0) for a, c in zip(r.normal(size=(300, 5)), r.integers(3, size=300))]
+    df = spark.createDataFrame(rows, "x array<double>, label_index double, weight double")
+    df = df.select(array_to_vector("x").alias("features"), "label_index", "weight")
+    model = T.fit_forest(df, "features", 3, trees=6, small=small)
+    m = T.loaded(model.getOrDefault(model.model), T._unpacked)
+    nodes = sum(len(t.feature) for t in m["trees"])
+    assert nodes > 600
+    assert sum(x.nbytes for t in m["trees"] for x in (t.feature, t.cut, t.left)) <= 7 * nodes
+    assert len(m["trees"][0].values) < nodes / 20
+    plain = T.unpacked(model.getOrDefault(model.model))["trees"]
+    codes = T.code_rows(np.array([a for a, *_ in rows]), m["edges"])
+    shares = sum(value[T.descend(codes, f, c, left)] for f, c, left, value in plain) / 6
+    assert np.abs(shares - T.class_shares(model.getOrDefault(model.model), np.array([a for a, *_ in rows]))).max() < 1e-12
+    # a model saved with a value by node reads the same
+    joined = [np.concatenate(c) for c in zip(*plain)]
+    old = T.dumped(kind="forest", classes=3, sizes=np.array([len(t[0]) for t in plain]), ends=np.cumsum([len(e) for e in m["edges"]]),
+                   edges=np.concatenate(m["edges"]), **dict(zip(("feature", "cut", "left", "value"), joined)))
+    assert np.abs(T.class_shares(old, np.array([a for a, *_ in rows])) - shares).max() < 1e-12
+
+
+def test_long_and_short_histograms_agree(monkeypatch):
+    r = np.random.default_rng(6)
+    codes, stats = r.integers(256, size=(3000, 5)).astype(np.uint8), r.random((3000, 2))
+    long = T.histogram(codes, stats)
+    monkeypatch.setattr(T, "LONG", 10**9)
+    assert (T.histogram(codes, stats) == long).all()
