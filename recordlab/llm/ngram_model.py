@@ -10,10 +10,11 @@ probabilities add up to 1 over the known words and one unknown. All counts cover
    before the last, so that a shard holds all successors of a word. A word whose rows would fill
    half a shard is dealt by its predecessor as well, its pairs by both words, and a pair that is
    as frequent by all three.
+   Shards are asked in ``WAVES`` turns; the files of an exchange go when its answers are stored.
 3. A shard's task merges what came, builds the trie (``ngram_trie``) in its own temporary folder,
    maps it into memory and answers every block's trigrams with quantised numbers, which leaves
    only the unigram share open.
-4. The answers meet at their block, which adds up its documents.
+4. The answers meet at their block, which adds up its documents, in ``WAVES`` turns as well.
 
 Shards hold about ``SHARD`` trigrams, whatever the corpus; a lost executor builds its shards again.
 """
@@ -34,10 +35,13 @@ from pyspark.sql import functions as F
 
 from recordlab.llm.common import stored, whole_text
 from recordlab.llm.ngram_trie import Trie, levels_of, probabilities, save
+from recordlab.session import cleaned_exchanges
 
 SEED = 42
 SHARD = 2_500_000
 BLOCK_TOKENS = 1_500_000
+#: shards are asked, and blocks answered, in so many turns; a turn's rows leave the disk before the next
+WAVES = 3
 ADDED = 0.1
 #: the end of a text and the place before its start; words have no white space
 END, START = (xxhash.xxh64_intdigest(x, SEED) for x in (b"\n", b"\t"))
@@ -286,13 +290,17 @@ def _asked(block: Block, dealer: Dealer, order: int):
         yield kind, places, count, order, borders, back
 
 
-def _send(dealer: Dealer, order: int):
+def _send(dealer: Dealer, order: int, wave: int = 0, waves: int = 1):
+    """Rows of the shards of a wave: every ``waves``-th one."""
+
     def run(batches):
         for row in _rows(batches):
             block = Block(row)
             for kind, places, count, dealt, borders, _ in _asked(block, dealer, order):
                 shards, words, rows = [], [], []
                 for shard in np.flatnonzero(np.diff(borders)).tolist():
+                    if shard % waves != wave:
+                        continue
                     mine = dealt[borders[shard] : borders[shard + 1]]
                     shards.append(shard)
                     if kind == WORDS:
@@ -446,8 +454,18 @@ def score_documents(
     tokens, train_tokens = head.n or 0, head.t or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // shard))
     dealer = Dealer(shards, *frequent_contexts(blocks, tokens, shards))
-    chunks = blocks.mapInArrow(_send(dealer, order), CHUNKS)
-    answers = stored(chunks.groupBy("shard").applyInArrow(_answer(dealer), ANSWERS), "ngram-answers")
-    words = answers.agg(F.sum("n").alias("n")).first().n or 0
-    met = blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-    return met.applyInArrow(_add_up(dealer, order, train_tokens, words), _SCORES).withColumnRenamed("id", id)
+    waves = min(WAVES, shards)
+    answers = None
+    with cleaned_exchanges(spark):
+        for wave in range(waves):
+            chunks = blocks.mapInArrow(_send(dealer, order, wave, waves), CHUNKS)
+            own = stored(chunks.groupBy("shard").applyInArrow(_answer(dealer), ANSWERS), "ngram-answers")
+            answers = own if answers is None else answers.unionByName(own)
+        words = answers.agg(F.sum("n").alias("n")).first().n or 0
+        scores = None
+        for wave in range(waves):
+            left, right = (x.where(F.pmod(F.xxhash64("block"), F.lit(waves)) == wave) for x in (blocks, answers.where("block >= 0")))
+            met = left.groupBy("block").cogroup(right.groupBy("block"))
+            own = stored(met.applyInArrow(_add_up(dealer, order, train_tokens, words), _SCORES), "ngram-scores")
+            scores = own if scores is None else scores.unionByName(own)
+    return scores.withColumnRenamed("id", id)

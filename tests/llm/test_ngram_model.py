@@ -122,3 +122,15 @@ def test_codes():
     code = ngram_trie.quantised(p)
     assert np.allclose(ngram_trie.probabilities(code), p, rtol=5e-4)
     assert ngram_trie.times(code, code[[2] * 5])[[0, 2]].tolist() == [ngram_trie.ZERO, 2048]
+
+
+def test_shards_are_asked_in_turns(spark):
+    """Every row is sent in one turn only, and no turn sends all."""
+    docs = frame(spark, [(i, " ".join(f"x{(i * 7 + k) % 50}" for k in range(60))) for i in range(40)])
+    blocks = ngram_model.to_blocks(docs, tenth(), "doc_id", "text", 400)
+    dealer = ngram_model.Dealer(12, {}, {})
+    sent = lambda *turn: {
+        (r.shard, r.block, r.kind, bytes(r.rows)) for r in blocks.mapInArrow(ngram_model._send(dealer, 3, *turn), ngram_model.CHUNKS).collect()
+    }
+    turns = [sent(i, 3) for i in range(3)]
+    assert all(turns) and set().union(*turns) == sent() and sum(map(len, turns)) == len(sent())
