@@ -30,11 +30,14 @@ def curate(
     min_age: int = quality.MIN_AGE,
     per_line: bool = False,
     out: str | None = None,
+    compression: str = "none",
 ) -> dict[str, DataFrame]:
     """``records, statistics, corpus, wide, rejects``; written below ``out`` when given.
 
     The records are parsed once: statistics, corpus and wide table branch from the stored
-    statistics rows. Rejects read the inputs again when they are asked for.
+    statistics rows. Rejects read the inputs again when they are asked for. ``compression`` is for the
+    files of text below ``out`` (records, statistics, corpus), which may take many times the size of
+    the same rows in columns; readers see no difference.
     """
     documents = rec.read_documents(spark, dirs, labels, per_line)
     readable = rec.project_records(documents.where(F.col("doc").isNotNull()))
@@ -48,8 +51,8 @@ def curate(
         "rejects": rec.rejects(documents),
     }
     if out:
-        io.write_records(kept, f"{out}/records")
-        io.write_statistics(result["statistics"], f"{out}/statistics", io.STATISTICS_COLUMNS)
-        io.write_corpus(result["corpus"], f"{out}/corpus")
+        io.write_records(kept, f"{out}/records", compression)
+        io.write_statistics(result["statistics"], f"{out}/statistics", io.STATISTICS_COLUMNS, compression)
+        io.write_corpus(result["corpus"], f"{out}/corpus", compression=compression)
         io.write_wide(result["wide"], f"{out}/wide")
     return result

@@ -121,12 +121,26 @@ def as_records(spark, sf) -> DataFrame:
     The operators on the long table never collect a record.
     """
     long = fx.lab_long(spark, sf)
-    return long.groupBy("rec_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("pos", "item", "age", "sex", "test_date", "res_num", "res_txt"))
-        ).alias("items")
+    # item and date follow from the position, age and sex from the record: they do not travel with each line
+    records = long.groupBy("rec_id").agg(
+        F.max("age").alias("age"),
+        F.max("sex").alias("sex"),
+        F.sort_array(F.collect_list(F.struct("pos", "res_num", "res_txt"))).alias("lines"),
     )
 
+    def item(x):
+        return F.struct(
+            x["pos"].alias("pos"),
+            F.concat(F.lit("item_"), x["pos"]["l_linenumber"].cast("string")).alias("item"),
+            "age",
+            "sex",
+            x["pos"]["l_shipdate"].cast("date").alias("test_date"),
+            x["res_num"].alias("res_num"),
+            x["res_txt"].alias("res_txt"),
+        )
+
+    return records.select("rec_id", F.transform("lines", item).alias("items"))
+
 
 def as_json(spark, sf) -> DataFrame:
     """``rec_id, n_items, value``: the same records as JSON text; a marker is a JSON number."""

@@ -11,7 +11,7 @@ from recordlab.plans.curate import curate
 from recordlab.registry.curation import ITEMS, as_json
 from recordlab.registry.fixtures import duck, table
 from recordlab.registry.modelling import CLASSES, RANKED_THREE, labelled
-from recordlab.session import scratch_path
+from recordlab.session import cleaned_exchanges, scratch_path
 from recordlab.sources import tables as io
 
 QUERIES, ORACLE = {}, {}
@@ -183,8 +183,12 @@ WHERE rn = 1 GROUP BY rec_id""",
 def curate_files(spark, sf):
     """The whole curation from a directory per class to the written wide table and corpus."""
     base = scratch_path(spark, "curation")
-    as_json(spark, sf).select("value", (F.col("rec_id") % 2).alias("cls")).write.partitionBy("cls").text(f"{base}/in")
-    curate(spark, {"A": f"{base}/in/cls=0", "B": f"{base}/in/cls=1"}, {"A": 0, "B": 1}, per_line=True, out=f"{base}/out")
+    # the texts are many times the size of the table that they come from
+    with cleaned_exchanges(spark):
+        texts = as_json(spark, sf).select("value", (F.col("rec_id") % 2).alias("cls"))
+        texts.write.partitionBy("cls").text(f"{base}/in", compression="gzip")
+        dirs = {"A": f"{base}/in/cls=0", "B": f"{base}/in/cls=1"}
+        curate(spark, dirs, {"A": 0, "B": 1}, per_line=True, out=f"{base}/out", compression="gzip")
     lines = spark.read.text(f"{base}/out/corpus/labels").count()
     wide = io.read_wide(spark, f"{base}/out/wide")
     return wide.select("rec_id", "source", "label", "age", "sex", *ITEMS, F.lit(lines).cast("bigint").alias("n_corpus"))

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from recordlab.operators.impute import knn_impute
 from recordlab.plans.clean import clean_table
+from recordlab.registry import curation
+from recordlab.registry import fixtures as fx
+from recordlab.registry.values import QUERIES
 from recordlab.session import scratch_scope, stored
 
 
@@ -53,3 +56,37 @@ def test_stored_rows_keep_columns_without_a_type(spark):
     back = stored(df, "void")
     assert back.dtypes == df.dtypes
     assert sorted(map(tuple, back.collect())) == [(0, None, 0), (1, None, 2), (2, None, 4)]
+
+
+def lines(spark, path, n=60):
+    """A small lineitem table, with a line that stands twice."""
+    rows = [
+        (k, 1 + (k * 3 + i) % 7, 10 * k + i, i, float(1 + (k * 5 + i) % 50), 100.0 * k + i, 0.01 * i, "R" if i else "N", f"199{k % 8 + 1}-0{i + 1}-11")
+        for k in range(1, n)
+        for i in range(k % 4 + 1)
+    ]
+    names = "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_shipdate STRING"
+    spark.createDataFrame([*rows, rows[-1]], names).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_records_carry_the_lines_of_the_long_view(spark, tmp_path):
+    sf = lines(spark, tmp_path)
+    found = curation.as_records(spark, sf).select("rec_id", F.inline("items"))
+    long = fx.lab_long(spark, sf)
+    assert found.columns == long.columns
+    assert found.count() == long.count() == long.intersectAll(found).count()
+    items = curation.as_records(spark, sf).select("items")
+    assert items.where(F.col("items") == F.sort_array("items")).count() == items.count()
+
+
+def test_curate_files_leaves_no_plain_text(spark, tmp_path):
+    sf = lines(spark, tmp_path)
+    made = []
+    with scratch_scope(made):
+        rows = QUERIES["curate_files"](spark, sf).collect()
+    assert len(rows) == rows[0].n_corpus > 0
+    files = [os.path.join(d, f) for p in made for d, _, names in os.walk(p.removeprefix("file:")) for f in names]
+    texts = [f for f in files if f.rsplit("/", 1)[1].startswith("part-") and not f.endswith(".parquet")]
+    assert texts and all(f.endswith(".gz") for f in texts)
+    assert "corpus-rows" not in kept(made)
