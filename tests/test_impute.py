@@ -149,3 +149,39 @@ def test_ties_leave_few_entries(spark, monkeypatch):
     assert np.allclose(got, brute(x, x, 5), equal_nan=True, rtol=0, atol=1e-9)
     # no more than a few times the five entries that a cell needs, whatever the number of blocks
     assert max(seen) < 3 * 5 * np.isnan(x).sum()
+
+
+def test_rows_are_bounded_by_each_donor_block():
+    rng = np.random.default_rng(14)
+    r, x = make(15, 40, 5, 0.4, False), make(16, 60, 5, 0.4, False)
+    # columns that all donors have bound the distance
+    x[:, :2] = rng.normal(size=(60, 2)) * 30
+    parts = np.array_split(x, 6)
+    donors = impute._Donors([(str(i), p, np.ones(len(p), np.int64)) for i, p in enumerate(parts)], 5)
+    low = donors.lower_bounds(r, np.arange(6))
+    assert low.shape == (40, 6)
+    for i, part in enumerate(parts):
+        assert (low[:, i] <= impute._distances(r, part).min(axis=1)).all()
+    # rows differ inside their block, so their bounds do
+    assert len(np.unique(low)) > 6
+
+
+def test_second_pass_meets_in_large_tiles(spark):
+    x = make(17, 700, 5, 0.5)
+    df, columns = frame(spark, x)
+    seen = []
+    original = impute._match
+
+    def spy(pairs, *rest):
+        seen.append((pairs.count(), pairs.select("tile").distinct().count()))
+        return original(pairs, *rest)
+
+    impute._match = spy
+    try:
+        got = values(knn_impute(df, columns, 5, min_block_rows=8), columns)
+    finally:
+        impute._match = original
+    assert np.allclose(got, brute(x, x, 5), equal_nan=True, rtol=0, atol=1e-9)
+    (_, alone), (pairs, tiles) = seen
+    # a tile holds many pairs, so a block of donors travels to few tasks
+    assert tiles < alone and tiles * 8 < pairs
